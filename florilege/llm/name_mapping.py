@@ -348,12 +348,13 @@ def map_values(values: DataFrame, refs: DataFrame, broadcast_entries: int = BROA
     if n <= broadcast_entries:
         entries = values.sparkSession.sparkContext.broadcast([tuple(r) for r in refs.orderBy("ref_id").collect()])
         token = uuid.uuid4().hex
-        best = values.mapInPandas(lambda batches: _look_up(batches, entries, token), "value string, score int, ref_id long")
+        # A fixed number of partitions: values are few bytes but much work, and would be put into one task.
+        best = values.repartition(values.sparkSession.sparkContext.defaultParallelism).mapInPandas(lambda batches: _look_up(batches, entries, token), "value string, score int, ref_id long")
     else:
         total, count = refs.count(), values.count()
         shards, blocks = -(-total // broadcast_entries), max(1, -(-count // block_values))
-        left = values.withColumn("block", F.pmod(F.xxhash64("value"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-        right = refs.withColumn("shard", F.pmod(F.xxhash64("ref_id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+        left = values.withColumn("block", F.pmod(F.xxhash64("value"), F.lit(blocks).cast("long"))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+        right = refs.withColumn("shard", F.pmod(F.xxhash64("ref_id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
         best = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(_look_up_shard, "value string, score int, ref_id long")
     merged = best.groupBy("value").agg(F.min("score").alias("low"), F.collect_set(F.struct("score", "ref_id")).alias("c"))
     winners = F.filter("c", lambda x: (x["score"] == F.col("low")) & (x["ref_id"] > 0))

@@ -86,7 +86,8 @@ def pack(sizes: DataFrame, runs: DataFrame, stream_items: int = STREAM_ITEMS) ->
         return sizes.sparkSession.createDataFrame([], empty)
     hashed = sizes.select("doc_id", "n_tokens", F.xxhash64("doc_id").alias("h")).withColumn("stream", F.pmod("h", F.lit(streams)))
     per_run = hashed.withColumn("r", F.explode(run)).select("doc_id", "n_tokens", "h", "stream", "r.run_name", "r.capacity")
-    return per_run.groupBy("run_name", "capacity", "stream").applyInPandas(_pack_stream, empty)
+    spread = per_run.repartition(max(per_run.sparkSession.sparkContext.defaultParallelism, min(20_000, streams * len(given))), "run_name", "capacity", "stream")
+    return spread.groupBy("run_name", "capacity", "stream").applyInPandas(_pack_stream, empty)
 
 
 def _pack_stream(pdf: pd.DataFrame) -> pd.DataFrame:

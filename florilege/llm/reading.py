@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from florilege.llm.boosting import Boosted, Calibration, Settings, calibrate
 from florilege.llm.mail import own_text
+from florilege.session import cut
 
 LEAST_WORDS = 14
 MOST_LABELS = 20_000
@@ -159,3 +160,13 @@ def grade(measured: DataFrame, model: Boosted, calibration: Calibration) -> Data
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "n_words": pdf["n_words"], "score": pd.Series(score).astype("Float64").mask(~has), "level": level})
 
     return measured.mapInPandas(graded, "doc_id long, source string, n_words int, score double, level int")
+
+
+def levels(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """documents and labels to (doc_id, source, n_words, score, level); all levels are null when no label can be used."""
+    measured = cut(features(documents))
+    rows = training_rows(measured, labels)
+    if rows.empty:
+        return measured.select("doc_id", "source", "n_words", F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("level"))
+    model, calibration, _ = train(rows, settings)
+    return grade(measured, model, calibration)
