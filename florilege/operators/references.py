@@ -23,6 +23,8 @@ from florilege.functions import bitmap
 from florilege.session import cut
 from florilege.skew import HOT_SHARE, salted_join
 
+#: Below this many rows no key is treated as hot.
+LEAST_HOT = 10_000
 #: Tags of the bitmaps that are not references.
 DELIVERED, WITHDRAWN = "+delivered", "+withdrawn"
 
@@ -53,7 +55,7 @@ def broken(refs: DataFrame, targets: DataFrame, withdrawn: DataFrame) -> DataFra
     found = left.join(keys.select("kid", "target", "key"), "kid").select(link("tag").alias("link"), "kind")
     counts = keys.select("target", "key", F.explode("marks").alias("m")).select("target", "key", "m.tag", "m.period", "m.n").where("n > 0")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = [r["link"] for r in counts.where(F.col("n") >= max(10_000, HOT_SHARE * total)).select(link("tag").alias("link")).limit(int(1 / HOT_SHARE)).collect()]
+    hot = [r["link"] for r in counts.where(F.col("n") >= max(LEAST_HOT, HOT_SHARE * total)).select(link("tag").alias("link")).limit(int(1 / HOT_SHARE)).collect()]
     rows = refs.select("src", "field", "row_seq", "period", link(F.concat_ws("\x1f", "src", "field")).alias("link"))
     return salted_join(rows, found, "link", F.col("row_seq"), hot, "inner").select("src", "field", "row_seq", "kind", "period")
 
