@@ -51,24 +51,23 @@ def _blank(c: Column) -> Column:
 
 def _quoted_fields(line: Column) -> tuple[Column, Column]:
     """(whether the quoting is right, the fields as text) of lines whose fields may be enclosed in quotes."""
+    # Lambdas below use nothing but their arguments: what they name from outside would be computed anew for every piece.
     pieces = F.split(line, '"', -1)
     n = F.size(pieces)
 
-    def piece_ok(x: Column, i: Column) -> Column:
-        inside = i % 2 == 1
-        before = F.substring_index(x, "|", 1)
-        after = F.substring_index(x, "|", -1)
-        has_bar = F.contains(x, F.lit("|"))
-        first, last = i == 0, i == n - 1
-        # Between two quoted parts: nothing (a doubled quote), or a bar with only blanks next to the quotes.
-        ends = (first | (_blank(before) == "")) & (last | (_blank(after) == ""))
-        middle = F.when(x == "", F.lit(True)).when(has_bar, ends).otherwise((first | last) & (_blank(x) == ""))
-        breaks = x.contains("\n") | x.contains("\r")
-        bare = ~breaks | F.forall(F.split(x, r"\|", -1), lambda f: (_blank(f) == "") | ~(_blank(f).contains("\n") | _blank(f).contains("\r")))
-        return F.when(inside, F.lit(True)).when(n == 1, bare).otherwise(middle & bare)
-
-    flags = F.transform(pieces, piece_ok)
-    right = (n % 2 == 1) & F.forall(flags, lambda ok: ok)
+    def no_break(x: Column) -> Column:
+        """No line end inside a field that is not enclosed."""
+        inside = lambda f: _blank(f).contains("\n") | _blank(f).contains("\r")
+        return ~(x.contains("\n") | x.contains("\r")) | F.forall(F.split(x, r"\|", -1), lambda f: ~inside(f))
+
+    before = lambda x: _blank(F.substring_index(x, "|", 1)) == ""
+    after = lambda x: _blank(F.substring_index(x, "|", -1)) == ""
+    # Between two quoted parts: nothing (a doubled quote), or a bar with only blanks next to the quotes.
+    middle = lambda x: (x == "") | (x.contains("|") & before(x) & after(x))
+    between = F.transform(F.slice(pieces, F.lit(2), F.greatest(n - 2, F.lit(0))), lambda x, i: (i % 2 == 0) | (middle(x) & no_break(x)))
+    first, last = F.get(pieces, F.lit(0)), F.substring_index(line, '"', -1)
+    enclosed = (n % 2 == 1) & after(first) & before(last) & no_break(first) & no_break(last) & F.forall(between, lambda ok: ok)
+    right = F.when(n == 1, no_break(line)).otherwise(enclosed)
     joined = F.array_join(F.transform(pieces, lambda x, i: F.when(i % 2 == 0, F.replace(x, F.lit("|"), F.lit(SEP))).otherwise(x)), '"')
     return right, F.split(joined, SEP, -1)
 
