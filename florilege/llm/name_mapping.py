@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Entries of one tree: a list of up to this many is broadcast (some 10 MB), a longer one is cut into shards of this size.
 BROADCAST_ENTRIES = 50_000
@@ -277,6 +278,28 @@ def transposing_distance(a: str, b: str, limit: int) -> int:
     return row[-1]
 
 
+def author_words(authorship: str | None) -> frozenset[str]:
+    return frozenset(w.strip("().&,") for w in fold(authorship or "").split()) - {""}
+
+
+class _Asked:
+    """Stands for a set of author words and keeps what it was asked for."""
+
+    def __init__(self) -> None:
+        self.words: list[str] = []
+
+    def __contains__(self, word: str) -> bool:
+        self.words.append(word)
+        return False
+
+
+def doubtful_word(value: str | None) -> str | None:
+    """The word of a value that is an author or an epithet, depending on whether the list knows it as an author."""
+    asked = _Asked()
+    readings(value or "", asked)
+    return asked.words[0] if asked.words else None
+
+
 class Index:
     """The trees over one list (or shard): entries are (ref_id, name, authorship)."""
 
@@ -284,7 +307,7 @@ class Index:
         self.ids, self.read, self.authors, folded = [], [], [], []
         vocabulary = set()
         for ref_id, name, authorship in entries:
-            words = frozenset(w.strip("().&,") for w in fold(authorship or "").split()) - {""}
+            words = author_words(authorship)
             vocabulary |= words
             got = readings(name or "", frozenset())
             if got and ref_id is not None:
@@ -298,15 +321,19 @@ class Index:
         self.sounds = [sounds(k) for k in folded]
         self.sounds_short = [sounds(" ".join(("", *r.epithets)).strip()) for r in self.read]
 
-    def best(self, values: list[str]) -> list[list[tuple[int, int]]]:
-        """For each value the best candidates as (score, ref_id): none, one, or two when several are equally good."""
+    def best(self, values: list[str], authors: list[frozenset[str]] | None = None) -> list[list[tuple[int, int]]]:
+        """For each value the best candidates as (score, ref_id): none, one, or two when several are equally good.
+
+        authors: the words that are known as authors, by value, where this index holds only a part of the list.
+        """
+        authors = authors or [self.vocabulary] * len(values)
         out: list[list[tuple[int, int]]] = []
         for at in range(0, len(values), BATCH):
-            out += self._batch(values[at : at + BATCH])
+            out += self._batch(values[at : at + BATCH], authors[at : at + BATCH])
         return out
 
-    def _batch(self, values: list[str]) -> list[list[tuple[int, int]]]:
-        read = [(i, r) for i, v in enumerate(values) for r in readings(v, self.vocabulary)]
+    def _batch(self, values: list[str], authors: list[frozenset[str]]) -> list[list[tuple[int, int]]]:
+        read = [(i, r) for i, v in enumerate(values) for r in readings(v, authors[i])]
         found: list[tuple[int, Reading, list[tuple[int, int]]]] = []
         for short, tree in ((False, self.full), (True, self.epithets)):
             mine = [(i, r) for i, r in read if r.abbreviated == short]
@@ -353,7 +380,11 @@ def map_values(values: DataFrame, refs: DataFrame, broadcast_entries: int = BROA
     else:
         total, count = refs.count(), values.count()
         shards, blocks = -(-total // broadcast_entries), max(1, -(-count // block_values))
-        left = values.withColumn("block", F.pmod(F.xxhash64("value"), F.lit(blocks).cast("long"))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+        # Which doubtful words are authors is asked of the whole list, as a shard knows only its own.
+        doubtful, words = F.pandas_udf(_doubtful, T.StringType()), F.pandas_udf(_words, T.ArrayType(T.StringType()))
+        known = refs.select(F.explode(words("authorship")).alias("word")).distinct()
+        asked = values.select("value", doubtful("value").alias("word")).join(known.withColumn("is_author", F.lit(True)), "word", "left")
+        left = asked.withColumn("author", F.when(F.col("is_author"), F.col("word"))).select("value", "author").withColumn("block", F.pmod(F.xxhash64("value"), F.lit(blocks).cast("long"))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
         right = refs.withColumn("shard", F.pmod(F.xxhash64("ref_id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
         best = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(_look_up_shard, "value string, score int, ref_id long")
     merged = best.groupBy("value").agg(F.min("score").alias("low"), F.collect_set(F.struct("score", "ref_id")).alias("c"))
@@ -365,9 +396,17 @@ def map_values(values: DataFrame, refs: DataFrame, broadcast_entries: int = BROA
 _cache: dict[str, Index] = {}
 
 
-def _rows(values: list[str], index: Index) -> pd.DataFrame:
+def _doubtful(values: pd.Series) -> pd.Series:
+    return values.map(doubtful_word)
+
+
+def _words(authorships: pd.Series) -> pd.Series:
+    return authorships.map(lambda a: sorted(author_words(a)))
+
+
+def _rows(values: list[str], index: Index, authors: list[frozenset[str]] | None = None) -> pd.DataFrame:
     """Up to two rows a value; a value without candidate gets ref_id 0 with the worst score."""
-    out = [(v, s, r) for v, best in zip(values, index.best([v or "" for v in values])) for s, r in (best or [(1 << 30, 0)])]
+    out = [(v, s, r) for v, best in zip(values, index.best([v or "" for v in values], authors)) for s, r in (best or [(1 << 30, 0)])]
     return pd.DataFrame(out, columns=["value", "score", "ref_id"])
 
 
@@ -381,4 +420,4 @@ def _look_up(batches: Iterator[pd.DataFrame], entries, token: str) -> Iterator[p
 
 def _look_up_shard(values: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
     index = Index(list(zip(refs["ref_id"].tolist(), refs["name"].tolist(), refs["authorship"].tolist())))
-    return _rows(values["value"].tolist(), index)
+    return _rows(values["value"].tolist(), index, [frozenset([a]) if isinstance(a, str) else frozenset() for a in values["author"]])
