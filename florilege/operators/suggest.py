@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from florilege.functions import names as n
 from florilege.functions import vocabulary as v
 from florilege.operators.ingest import SCHEME, Index
+from florilege.session import cut
 
 #: Rows that are ranked at most, how many are fetched for a limit, and the score of rows beyond the pool.
 POOL, LEAST_FETCH, FETCH_FACTOR = 5000, 20, 4
@@ -51,6 +52,7 @@ def matches(rows: DataFrame, asked: DataFrame) -> DataFrame:
     score: minus idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * words / mean words)), idf = ln((N - n + 0.5) / (n + 0.5)), at least 1e-6.
     """
     q = queries(asked)
+    rows = cut(rows)  # read for postings, for the count and for the mean
     size = F.size("tokens")
     posted = rows.select("rowid", "concept_id", "is_aggregate", "tokens", F.posexplode("tokens").alias("pos", "t"))
     keys = F.array(F.concat(F.lit("="), "t"), F.concat(F.lit("2"), F.substring("t", 1, 2)), F.concat(F.lit("1"), F.substring("t", 1, 1)))
@@ -84,7 +86,7 @@ def suggest(rows: DataFrame, asked: DataFrame, index: Index, effective: DataFram
     if backbone and not index.concept.where(F.col("backbone_id") == backbone).limit(1).collect():
         raise ValueError(f"unknown backbone: {backbone}")
     limit = limit_of(limit)
-    m = matches(rows, asked)
+    m = cut(matches(rows, asked))
     ranked = m.withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy("score", "rowid")))
     pool = ranked.where(F.col("k") <= POOL).drop("k")
     code = v.AREA_ALIASES.get(area.strip().upper(), area.strip().upper())
