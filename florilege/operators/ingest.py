@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from florilege.functions import names as n
 from florilege.functions import vocabulary as v
+from florilege.session import cut
 
 SCHEME = "wgsrpd_l3"
 
@@ -73,7 +74,7 @@ def homotypic(taxon: Column, basionym: Column, target: Column, target_basionym:
 def backbone(taxa: DataFrame, distributions: DataFrame, bid: str) -> Index:
     """taxa (taxonid, canonical, authorship, rank, status, nom_status, published_in, powo, accepted_id, parent_id, basionym_id; one row
     a key) and distributions (coreid, locality, locationid, seq) to the index of one backbone."""
-    t = link_taxa(taxa)
+    t = cut(link_taxa(taxa))  # five tables are made of it
     rank, verbatim = v.parse_rank_lenient("rank"), v.rank_verbatim("rank")
     name = t.select(
         name_id(bid, F.col("taxonid")).alias("id"), "canonical", n.canonicalize("canonical").alias("canonical_fold"), "authorship", rank.alias("rank"), verbatim.alias("rank_verbatim"),
@@ -208,6 +209,7 @@ def xref_outcomes(rows: DataFrame, known: DataFrame) -> DataFrame:
 
 def concept_source(concepts: DataFrame, bid: str = "cdm") -> Index:
     """concepts (uuid, canonical, authorship, rank, status, sec, parent; one row a key) to an index; parents only where present."""
+    concepts = cut(concepts)  # three tables are made of it
     rank, verbatim = v.parse_rank_lenient("rank"), v.rank_verbatim("rank")
     null = F.lit(None).cast("string")
     name = concepts.select(

@@ -10,7 +10,7 @@ from florilege.session import build, ship  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = build("local[4]", 4, spark__driver__memory="4g", spark__driver__host="127.0.0.1", spark__checkpoint__dir=str(tmp_path_factory.mktemp("checkpoints")))
+    session = build("local[4]", 2, spark__driver__memory="4g", spark__driver__host="127.0.0.1", spark__checkpoint__dir=str(tmp_path_factory.mktemp("checkpoints")), spark__sql__codegen__wholeStage="false")
     session.sparkContext.setLogLevel("ERROR")
     ship(session)
     yield session
