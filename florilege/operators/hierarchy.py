@@ -128,11 +128,15 @@ def euler(tree: DataFrame) -> DataFrame:
     step = F.when(F.col("next").isNull(), 0).when(F.col("next") % 2 == 0, 1).otherwise(-1)
     level = cut(elements.withColumn("w", F.lit(1).cast("long")).withColumn("d", step.cast("long")))
     joined: list[DataFrame] = []
-    while level.count() > RESIDUAL:
+    # A list that is contracted to its head is done; however many there are, they need no ranking.
+    done = F.col("head") & F.col("next").isNull()
+    while level.where(~done).count() > RESIDUAL:
         absorbed = cut(_contract(level, len(joined)))
         joined.append(absorbed)
         level = absorbed.select("e", "next", "head", "w", "d")
-    placed = level.groupBy().applyInPandas(_rank_residual, "e long, root long, pos long, depth long")
+    zero = F.lit(0).cast("long")
+    placed = level.where(~done).groupBy().applyInPandas(_rank_residual, "e long, root long, pos long, depth long")
+    placed = placed.unionByName(level.where(done).select("e", F.col("e").alias("root"), zero.alias("pos"), zero.alias("depth")))
     for k, absorbed in enumerate(reversed(joined)):
         both = absorbed.select("e", "taken", "taken_w", "taken_d").join(placed, "e")
         own = F.struct("e", "root", "pos", "depth")
