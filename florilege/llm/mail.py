@@ -22,7 +22,7 @@ _CLOSING = re.compile(r"^(?:best(?: wishes| regards)?|(?:kind |many |warm )?rega
 _NOTICE = re.compile(r"^(?:confidentiality notice|this (?:e-?mail|message) and any attach|the views in this mail|please think of the|please consider the environ|eine rechtsverbindliche erkl|bitte nicht drucken|diese nachricht (?:enth|ist)|merci de ne pas imprimer|ce message et ses pi|sent from my|gesendet von meinem|envoy. de mon)", re.I)
 _PARAGRAPH = re.compile(r"<\s*(?:/\s*p|br|/\s*div|/\s*li|/\s*tr|/\s*h[1-6])\b[^>]*>", re.I)
 _HIDDEN = re.compile(r"<(style|script|head|title)\b.*?(?:</\1\s*>|\Z)", re.I | re.S)
-_TAG = re.compile(r"<[^<>]{0,2000}>|<[^<>]*\Z")
+_TAG = re.compile(r"<[^<>]*>|<[^<>]*\Z")
 
 
 def _split_header(text: str) -> tuple[dict[str, str], str]:
@@ -75,34 +75,47 @@ def _charset(content_type: str) -> str:
     return m[1] if m else ""
 
 
-def body_text(text: str, depth: int = 0) -> tuple[str, bool]:
-    """The message's readable part and whether it is HTML: the first plain part, else the first HTML part."""
-    fields, body = _split_header(text)
-    kind = fields.get("content-type", "text/plain")
-    low = kind.lower()
-    boundary = _boundary(kind) if low.startswith("multipart") else None
-    if boundary and depth < 5:
-        pieces = body.split("--" + boundary)[1:]
-        best: tuple[str, bool] | None = None
-        for piece in pieces:
-            if piece.startswith("--"):
-                break
-            piece = piece.removeprefix("\n") if piece.startswith("\n") else piece
-            inner = piece.partition("\n\n")[0].lower()
-            if "content-disposition: attachment" in inner or "application/" in inner.split("\n")[0]:
-                continue
-            got = body_text(piece if ":" in piece.split("\n", 1)[0] else "\n\n" + piece, depth + 1)
-            if got[0].strip() and (best is None or (best[1] and not got[1])):
-                best = got
-                if not got[1]:
-                    break
-        return best or ("", False)
-    if low.startswith("multipart"):
-        return body, False
-    if not low.startswith("text/") and "content-type" in fields:
-        return "", False
-    out = _decoded(body, fields.get("content-transfer-encoding", ""), _charset(kind))
-    return out, low.startswith("text/html") or out.lstrip()[:6].lower() == "<html>"
+def _parts(body: str, boundary: str) -> list[str]:
+    """The parts of a multipart body, attachments left out."""
+    parts = []
+    for piece in body.split("--" + boundary)[1:]:
+        if piece.startswith("--"):
+            break
+        piece = piece.removeprefix("\n")
+        inner = piece.partition("\n\n")[0].lower()
+        if "content-disposition: attachment" in inner or "application/" in inner.split("\n")[0]:
+            continue
+        parts.append(piece if ":" in piece.split("\n", 1)[0] else "\n\n" + piece)
+    return parts
+
+
+def body_text(text: str) -> tuple[str, bool]:
+    """The message's readable part and whether it is HTML: the first plain part, else the first HTML part, at any depth."""
+    stack, nested = [text], False
+    best: tuple[str, bool] | None = None
+    while stack:
+        fields, body = _split_header(stack.pop())
+        kind = fields.get("content-type", "text/plain")
+        low = kind.lower()
+        boundary = _boundary(kind) if low.startswith("multipart") else None
+        if boundary:
+            nested = True
+            stack.extend(reversed(_parts(body, boundary)))
+            continue
+        if low.startswith("multipart"):
+            got = body, False
+        elif not low.startswith("text/") and "content-type" in fields:
+            got = "", False
+        else:
+            out = _decoded(body, fields.get("content-transfer-encoding", ""), _charset(kind))
+            got = out, low.startswith("text/html") or out.lstrip()[:6].lower() == "<html>"
+        if not nested:
+            return got
+        if got[0].strip() and not got[1]:
+            return got
+        if got[0].strip() and best is None:
+            best = got
+    return best or ("", False)
 
 
 def _plain(markup: str) -> str:
