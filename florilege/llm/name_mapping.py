@@ -183,6 +183,7 @@ class Reading:
     epithets: tuple[str, ...]
     rank: str
     author: tuple[str, ...] = ()
+    second: bool = False  # yields to another reading that fits as well
 
     @property
     def abbreviated(self) -> bool:
@@ -233,22 +234,57 @@ def readings(value: str, authors: frozenset[str]) -> list[Reading]:
         return []
     out: list[Reading] = []
     species = _letters(rest[0])
-    rank, infra, at = "", "", 1
-    if len(rest) > 2 and rest[1].rstrip(".") in RANK_WORDS and _WORD.match(_letters(rest[2])):
-        rank, infra, at = RANK_WORDS[rest[1].rstrip(".")], _letters(rest[2]), 3
-    author = tuple(_letters(t.strip("()&.,")) for t in rest[at:] if t.strip("()&.,"))
-    if infra:
-        out.append(Reading(genus, (species, infra), rank, author))
-    elif author and _WORD.match(_letters(rest[1])) and rest[1].strip("().") not in authors and not rest[1].startswith("(") and rest[1] not in ("ex", "et", "in", "&"):
+    capital = _capitals(value)
+    if species in capital:  # every word has one
+        capital = frozenset()
+    # The rank word stands behind the species or behind its author.
+    k = next((k for k in range(1, len(rest) - 1) if rest[k].rstrip(".") in RANK_WORDS and _WORD.match(_letters(rest[k + 1])) and (k == 1 or _ranks_epithet(rest[k + 1], capital))), 0)
+    if k:
+        out.append(Reading(genus, (species, _letters(rest[k + 1])), RANK_WORDS[rest[k].rstrip(".")], _author(rest[k + 2 :] + rest[1:k])))
+    # f. after an author may mean his son, where no capitals tell.
+    son = k > 1 and rest[k].rstrip(".") in ("f", "v") and not _mixed(value)
+    author = _author(rest[1:])
+    if k == 1:
+        pass
+    elif author and _WORD.match(_letters(rest[1])) and rest[1].strip("().") not in authors and not rest[1].startswith("(") and rest[1] not in _JOINING:
         # A third word that is no author: an epithet below species whose rank was not typed.
-        out.append(Reading(genus, (species, _letters(rest[1])), "", author[1:]))
-        if rest[1].endswith(".") or rest[1] != rest[1].lower():
-            out.append(Reading(genus, (species,), "", author))
-    else:
-        out.append(Reading(genus, (species,), "", author))
+        if not k or son or not (rest[1].endswith(".") or _letters(rest[1]) in capital):
+            out.append(Reading(genus, (species, _letters(rest[1])), "", author[1:]))
+        if (not k or son) and (rest[1].endswith(".") or _letters(rest[1]) in capital):
+            out.append(Reading(genus, (species,), "", author, son or not rest[1].endswith(".")))
+    elif not k or son:
+        out.append(Reading(genus, (species,), "", author, son))
     return out
 
 
+#: Words between authors.
+_JOINING = ("ex", "et", "in", "&")
+
+
+def _author(tokens: list[str]) -> tuple[str, ...]:
+    return tuple(_letters(t.strip("()&.,")) for t in tokens if t.strip("()&.,"))
+
+
+def _ranks_epithet(token: str, capital: frozenset[str]) -> bool:
+    return token.rstrip(".") not in RANK_WORDS and token not in _JOINING and _letters(token) not in capital
+
+
+def _cased(value: str) -> list[str]:
+    return [w for w in re.split(r"[\s,;_&()]+", unicodedata.normalize("NFKD", value)) if w]
+
+
+def _capitals(value: str) -> frozenset[str]:
+    """The folded words after the first that are written with a capital only."""
+    words = [(_letters(fold(w)), w[0].isupper()) for w in _cased(value)[1:]]
+    return frozenset(w for w, up in words if up) - {w for w, up in words if not up}
+
+
+def _mixed(value: str) -> bool:
+    """Whether the first word has a capital and the second none."""
+    words = _cased(value)
+    return len(words) > 1 and words[0][0].isupper() and words[1][0].islower()
+
+
 def _letters(token: str) -> str:
     return token.strip("().,;:'").translate(_OCR)
 
@@ -356,7 +392,7 @@ class Index:
                     cost = min(cost, 2) + 1
                 rank_off = int(bool(r.rank and entry.rank and r.rank != entry.rank))
                 author_off = int(not (set(r.author) & self.authors[j]))
-                score = cost * 1000 + rank_off * 100 + author_off * 10 + d
+                score = cost * 1000 + rank_off * 100 + author_off * 10 + 5 * r.second + d
                 scored[i][j] = min(score, scored[i].get(j, score))
         out = []
         for s in scored:
