@@ -342,6 +342,39 @@ def rule_ablation(spark: SparkSession, sf: str) -> DataFrame:
     return every.join(resolved, "rules", "left").select("rules", "n_rows", "resolved")
 
 
+_HYBRID = ("hybrid_spacing", "hybrid_marker_dropped", "hybrid_marker_added")
+#: The measured sets of rules, the first is what the others are compared with.
+_TEN = {
+    "exact": (), "hybrid_spacing": _HYBRID[:1], "hybrid_marker_dropped": _HYBRID[1:2], "hybrid_marker_added": _HYBRID[2:], "hybrid": _HYBRID, "aggregate_marked": ("aggregate",),
+    "aggregate": ("aggregate", "aggregate_to_nominate"), "autonym": ("autonym",), "orthography_genitive": ("orthography_genitive",), "all": n.RULES[1:],
+}
+_COUNTED = [f"{x}_{o}" for x in ("rows", "taxa") for o in ("matched", "unmatched", "ambiguous")]
+
+
+@query(s.with_("lookup name_rows", f"""SELECT *, {', '.join(f"{c} - max({c}) FILTER (rules = 'exact') OVER () AS {c}_delta" for c in _COUNTED)} FROM (
+  SELECT s.rules, {', '.join(f"coalesce(sum({'t.rows' if c[0] == 'r' else '1'}) FILTER ({ {'matched': 'b.n = 1', 'unmatched': 'b.n IS NULL', 'ambiguous': 'b.n > 1'}[c[5:]] }), 0)::BIGINT AS {c}" for c in _COUNTED)}
+  FROM (SELECT {s.fold('taxon')} AS canon, count(*) AS rows FROM name_rows GROUP BY 1) t CROSS JOIN (SELECT DISTINCT rules FROM sets) s
+  LEFT JOIN (SELECT rules, canon, n FROM (SELECT x.rules, r.canon, t.n, row_number() OVER (PARTITION BY x.rules, r.canon ORDER BY r.ord) AS k FROM rungs r JOIN sets x ON x.rule = r.rule JOIN targets t ON t.canonical_fold = r.key) WHERE k = 1) b ON b.canon = t.canon AND b.rules = s.rules GROUP BY s.rules)""",
+    s.crosswalk("name_rows", "taxon", "lookup"), "sets AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{r}')" for k, rs in _TEN.items() for r in ("exact", *rs)) + ") v(rules, rule))"))
+def rule_ablation_deltas(spark: SparkSession, sf: str) -> DataFrame:
+    """Outcomes of the name list under the ten measured sets of ladder rules, by row and by name, and their distance to exact names alone."""
+    rows = ix.name_rows(spark, sf).groupBy(n.canonicalize("taxon").alias("canon")).agg(F.count(F.lit(1)).alias("rows"))
+    targets = g.lookup(ix.index(spark, sf)).groupBy("canonical_fold").agg(F.count_distinct("concept_id").alias("n"))
+    rungs = rows.select("canon", "rows", F.explode(n.ladder("canon")).alias("r"))
+    hits = rungs.join(targets, F.col("r.key") == F.col("canonical_fold")).select("canon", "rows", "r.ord", "r.rule", "n")
+    sets = F.explode(F.array(*[F.struct(F.lit(k).alias("rules"), F.array(*[F.lit(r) for r in ("exact", *rs)]).alias("allowed")) for k, rs in _TEN.items()]))
+    by_set = hits.withColumn("x", sets).where(F.array_contains("x.allowed", F.col("rule"))).groupBy("x.rules", "canon").agg(F.min_by("n", "ord").alias("n"), F.first("rows").alias("rows"))
+    one, several = F.col("n") == 1, F.col("n") > 1
+    counted = by_set.groupBy("rules").agg(
+        F.sum(F.when(one, F.col("rows"))).alias("rows_matched"), F.sum(F.when(several, F.col("rows"))).alias("rows_ambiguous"), F.count_if(one).alias("taxa_matched"), F.count_if(several).alias("taxa_ambiguous"),
+    )
+    every = rows.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("taxa")).withColumn("rules", F.explode(F.array(*[F.lit(k) for k in _TEN])))
+    out = every.join(counted, "rules", "left").na.fill(0)
+    out = out.withColumns({f"{x}_unmatched": F.col(x) - F.col(f"{x}_matched") - F.col(f"{x}_ambiguous") for x in ("rows", "taxa")})
+    together = Window.partitionBy(F.lit(1))  # ten rows
+    return out.select("rules", *_COUNTED, *[(F.col(c) - F.max(F.when(F.col("rules") == "exact", F.col(c))).over(together)).alias(f"{c}_delta") for c in _COUNTED])
+
+
 @query(s.with_("concept edges", "SELECT c.sec_reference, count(*) AS isolated FROM concept c WHERE c.backbone_id = 'cdm' AND c.id NOT IN (SELECT from_id FROM edges) AND c.id NOT IN (SELECT to_id FROM edges) GROUP BY 1"))
 def isolated_concepts(spark: SparkSession, sf: str) -> DataFrame:
     e = ix.edges(spark, sf)
@@ -387,6 +420,26 @@ def bridge(spark: SparkSession, sf: str) -> DataFrame:
     return j.agg(F.count(F.lit(1)).alias("unresolved"), F.count_if(bit(1)).alias("by_name_list"), F.count_if(bit(2)).alias("by_concepts"), F.count_if(F.col("l").isNotNull()).alias("by_any"), F.count_if(F.col("l") == 1).alias("by_name_list_only"))
 
 
+@query(s.with_("lookup trait_rows name_rows", """SELECT step, count(*) AS unresolved, count(l.f) AS recovered, count(*) FILTER (CASE step WHEN 'exact' THEN l.acc IN (SELECT f FROM known) ELSE l.acc IN (SELECT canon FROM answered) END) AS bridgeable
+  FROM (SELECT 'exact' AS step, f FROM asked WHERE f NOT IN (SELECT f FROM known) UNION ALL SELECT 'ladder', f FROM asked WHERE f NOT IN (SELECT canon FROM answered)) o LEFT JOIN links l ON l.f = o.f GROUP BY 1""",
+    f"asked AS (SELECT DISTINCT {s.fold('taxon')} AS f FROM trait_rows), links AS (SELECT {s.fold('taxon')} AS f, arg_max({s.fold("coalesce(accepted_taxon, '')")}, seq) AS acc FROM name_rows GROUP BY 1), known AS (SELECT DISTINCT canonical_fold AS f FROM lookup WHERE canonical_fold <> '')",
+    "both_sides AS (SELECT f AS v FROM asked UNION SELECT acc FROM links)", s.ladder("both_sides", "v"), "answered AS (SELECT DISTINCT canon FROM rungs WHERE key IN (SELECT f FROM known))"))
+def bridge_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Trait names that the index does not know, those that the name list has, and those whose accepted name there the index knows:
+    by equality, and by the ladder on both sides. Of several rows of a name the last one's link counts."""
+    known = g.lookup(ix.index(spark, sf)).where("canonical_fold <> ''").select(F.col("canonical_fold").alias("key")).distinct()
+    asked = ix.traits_rows(spark, sf).select(n.canonicalize("taxon").alias("f")).distinct()
+    acc = n.canonicalize(F.coalesce("accepted_taxon", F.lit("")))
+    links = ix.name_rows(spark, sf).groupBy(n.canonicalize("taxon").alias("f")).agg(F.max_by(acc, "seq").alias("acc"))
+    names = asked.unionByName(links.select(F.col("acc").alias("f"))).distinct()
+    rungs = names.select("f", F.explode(n.ladder("f")).alias("r")).select("f", "r.key", "r.rule").join(known, "key")
+    answered = cut(rungs.groupBy("f").agg(F.bool_or(F.col("rule") == "exact").alias("exact")))
+    j = asked.join(answered, "f", "left").join(links, "f", "left").join(answered.select(F.col("f").alias("acc"), F.col("exact").alias("acc_exact")), "acc", "left")
+    steps = F.array(F.struct(F.lit("exact").alias("step"), F.coalesce("exact", F.lit(False)).alias("known"), F.coalesce("acc_exact", F.lit(False)).alias("linked")), F.struct(F.lit("ladder").alias("step"), F.col("exact").isNotNull().alias("known"), F.col("acc_exact").isNotNull().alias("linked")))
+    o = j.select("acc", F.explode(steps).alias("x")).where("not x.known")
+    return o.groupBy("x.step").agg(F.count(F.lit(1)).alias("unresolved"), F.count("acc").alias("recovered"), F.count_if("x.linked").alias("bridgeable"))
+
+
 @query(s.with_("trait_keys trait_rows", f"""SELECT count(*) AS slots, count(*) FILTER (n > 1) AS contested, count(*) FILTER (a <> z) AS changed FROM (
   SELECT w.concept_id, upper(trim(r.dim)) AS dim, count(*) AS n, arg_min(r.seq, {s.rule_rank('w.rule')} * 1000000000000 + r.seq) AS a, max(r.seq) AS z FROM trait_rows r JOIN walked w ON w.value = r.taxon AND w.outcome = 'matched' GROUP BY 1, 2)""", s.crosswalk("trait_rows", "taxon", "trait_keys")))
 def winner_policies(spark: SparkSession, sf: str) -> DataFrame:
