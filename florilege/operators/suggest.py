@@ -1,7 +1,7 @@
 """Suggestions for batches of typed beginnings: a phrase-prefix search over name tokens, BM25 scores, area and rank order.
 
-The phrase may start at any word of a name; its last word is a beginning. Postings carry a word as it is and its first two
-characters, so a query joins on one short key and is verified against the row's words. Ties at every cut are decided by the
+The phrase may start at any word of a name; its last word is a beginning. Postings carry a word as it is with the next one's first
+character, and its own first two, so a query joins on one short key and is verified against the row's words. Ties at every cut are decided by the
 row id, which makes results the same in every run.
 """
 
@@ -42,7 +42,7 @@ def queries(asked: DataFrame) -> DataFrame:
     text = n.strip_aggregate(n.canonicalize("q"))
     r = asked.withColumn("text", text).where(F.length("text") >= MIN_QUERY).withColumn("words", tokens("text")).where(F.size("words") > 0)
     head = F.get("words", F.lit(0))
-    anchor = F.when(F.size("words") > 1, F.concat(F.lit("="), head)).when(F.length(head) > 1, F.concat(F.lit("2"), F.substring(head, 1, 2))).otherwise(F.concat(F.lit("1"), head))
+    anchor = F.when(F.size("words") > 1, F.concat(F.lit("="), head, F.lit(" "), F.substring(F.get("words", F.lit(1)), 1, 1))).when(F.length(head) > 1, F.concat(F.lit("2"), F.substring(head, 1, 2))).otherwise(F.concat(F.lit("1"), head))
     return r.select("qid", "q", "words", F.size("words").alias("k"), anchor.alias("anchor"))
 
 
@@ -55,7 +55,8 @@ def matches(rows: DataFrame, asked: DataFrame) -> DataFrame:
     rows = cut(rows)  # read for postings, for the count and for the mean
     size = F.size("tokens")
     posted = rows.select("rowid", "concept_id", "is_aggregate", "tokens", F.posexplode("tokens").alias("pos", "t"))
-    keys = F.array(F.concat(F.lit("="), "t"), F.concat(F.lit("2"), F.substring("t", 1, 2)), F.concat(F.lit("1"), F.substring("t", 1, 1)))
+    follows = F.substring(F.get("tokens", F.col("pos") + 1), 1, 1)  # null behind the last word, which starts no phrase of several
+    keys = F.array(F.concat(F.lit("="), "t", F.lit(" "), follows), F.concat(F.lit("2"), F.substring("t", 1, 2)), F.concat(F.lit("1"), F.substring("t", 1, 1)))
     postings = posted.withColumn("anchor", F.explode(keys)).drop("t")
     last = F.get("words", F.col("k") - 1)
     whole = F.slice("tokens", F.col("pos") + 1, F.greatest(F.col("k") - 1, F.lit(0))) == F.slice("words", F.lit(1), F.col("k") - 1)
