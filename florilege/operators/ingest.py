@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from florilege.functions import names as n
 from florilege.functions import vocabulary as v
 from florilege.session import cut
+from florilege.skew import hot_values_of, salted_join
 
+#: The scheme of all area codes, and (in `Index`) the columns of the tables and the shapes of their ids.
 SCHEME = "wgsrpd_l3"
 
 
@@ -58,11 +60,14 @@ def link_taxa(taxa: DataFrame) -> DataFrame:
     Adds accepted (own id), basionym (null unless present), target_accepted, target_basionym, parent_accepted.
     """
     t = taxa.withColumn("accepted", F.coalesce(F.col("accepted_id") == F.col("taxonid"), F.lit(False)))
+    hot = hot_values_of(taxa, ["basionym_id", "accepted_id", "parent_id"])
     present = taxa.select(F.col("taxonid").alias("basionym_id"), F.lit(True).alias("has_basionym"))
-    t = t.join(present, "basionym_id", "left").withColumn("basionym", F.when(F.col("has_basionym"), F.col("basionym_id")))
+    own = F.col("taxonid")
+    t = salted_join(t, present, "basionym_id", own, hot["basionym_id"]).withColumn("basionym", F.when(F.col("has_basionym"), F.col("basionym_id")))
     target = t.where("accepted").select(F.col("taxonid").alias("accepted_id"), F.lit(True).alias("target_accepted"), F.col("basionym").alias("target_basionym"))
     parent = t.where("accepted").select(F.col("taxonid").alias("parent_id"), F.lit(True).alias("parent_accepted"))
-    return t.join(target, "accepted_id", "left").join(parent, "parent_id", "left")
+    t = salted_join(t, target, "accepted_id", own, hot["accepted_id"])
+    return salted_join(t, parent, "parent_id", own, hot["parent_id"])
 
 
 def homotypic(taxon: Column, basionym: Column, target: Column, target_basionym: Column) -> Column:
@@ -74,7 +79,11 @@ def homotypic(taxon: Column, basionym: Column, target: Column, target_basionym:
 def backbone(taxa: DataFrame, distributions: DataFrame, bid: str) -> Index:
     """taxa (taxonid, canonical, authorship, rank, status, nom_status, published_in, powo, accepted_id, parent_id, basionym_id; one row
     a key) and distributions (coreid, locality, locationid, seq) to the index of one backbone."""
-    t = cut(link_taxa(taxa))  # five tables are made of it
+    return from_linked(cut(link_taxa(taxa)), distributions, bid)  # five tables are made of it
+
+
+def from_linked(t: DataFrame, distributions: DataFrame, bid: str) -> Index:
+    """`backbone` over taxa that `link_taxa` has linked."""
     rank, verbatim = v.parse_rank_lenient("rank"), v.rank_verbatim("rank")
     name = t.select(
         name_id(bid, F.col("taxonid")).alias("id"), "canonical", n.canonicalize("canonical").alias("canonical_fold"), "authorship", rank.alias("rank"), verbatim.alias("rank_verbatim"),
@@ -99,9 +108,9 @@ def backbone(taxa: DataFrame, distributions: DataFrame, bid: str) -> Index:
     return Index(name, concept, roles.unionByName(synonyms), xref, distribution, area)
 
 
-def backbone_report(taxa: DataFrame) -> DataFrame:
-    """One row: names, concepts, synonyms, orphaned, other_ranks and the nomenclatural verdicts of the names that are not accepted."""
-    t = link_taxa(taxa).withColumn("judgement", v.nom_status("nom_status")["judgement"])
+def backbone_report(linked: DataFrame) -> DataFrame:
+    """linked: `link_taxa`. One row: names, concepts, synonyms, orphaned, other_ranks and the nomenclatural verdicts of the names that are not accepted."""
+    t = linked.withColumn("judgement", v.nom_status("nom_status")["judgement"])
     syn = ~F.col("accepted")
     count = lambda c: F.count_if(c)
     return t.agg(
@@ -209,7 +218,6 @@ def xref_outcomes(rows: DataFrame, known: DataFrame) -> DataFrame:
 
 def concept_source(concepts: DataFrame, bid: str = "cdm") -> Index:
     """concepts (uuid, canonical, authorship, rank, status, sec, parent; one row a key) to an index; parents only where present."""
-    concepts = cut(concepts)  # three tables are made of it
     rank, verbatim = v.parse_rank_lenient("rank"), v.rank_verbatim("rank")
     null = F.lit(None).cast("string")
     name = concepts.select(
@@ -217,7 +225,7 @@ def concept_source(concepts: DataFrame, bid: str = "cdm") -> Index:
         null.alias("ipni_id"), null.alias("published_in"), null.alias("nom_status"), null.alias("basionym_id"),
     )
     up = concepts.select(F.col("uuid").alias("parent"), F.lit(True).alias("has_parent"))
-    c = concepts.join(up, "parent", "left")
+    c = salted_join(concepts, up, "parent", F.col("uuid"), hot_values_of(concepts, ["parent"])["parent"])
     concept = c.select(
         concept_id(bid, F.col("uuid")).alias("id"), F.lit(bid).alias("backbone_id"), name_id(bid, F.col("uuid")).alias("accepted_name"), rank.alias("rank"), verbatim.alias("rank_verbatim"),
         v.parse_status("status").alias("status"), F.when(F.col("has_parent"), concept_id(bid, F.col("parent"))).alias("parent_id"), F.col("sec").alias("sec_reference"),

@@ -5,19 +5,25 @@ Requests are DataFrames; an unknown concept keeps its row with found = false, a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from florilege.functions import names as n
 from florilege.functions import vocabulary as v
+from florilege.operators import match as mt
 from florilege.operators.ingest import Index
 from florilege.session import cut
 
 MAX_DEPTH = 10
+#: What may be asked for in a list of synonyms, and the longest list that may be asked for.
+RELEVANCE = ("all", "publication")
+PUBLICATION_RANKS = {"": (), "species": v.EXCLUDED_RANKS}
+MOST_SYNONYMS = 2000
 #: The notes to a translation.
 NOTE_NO_RELATION = "Keine erfasste Relation in den Zielreferenzraum. Das bedeutet NICHT, dass keine Beziehung besteht — nur, dass keine Quelle eine erfasst hat."
 NOTE_NOT_EQUAL = "Keine Gleichsetzung: Diese Relation sagt nicht, dass es sich um dasselbe Taxon handelt."
 NOTE_UNCERTAIN = "Unbestimmt: Die Quelle legt sich nicht fest, ob enthalten in, enthält oder überlappt — keine Gleichsetzung."
+NOTE_NAMES = "Namensgleiche Konzepte im Zielraum — KEINE Übersetzung: keine Quelle behauptet eine Beziehung zwischen ihnen. Nur zur manuellen Prüfung."
 NOTE_NO_INVERSE = "Gerichtete Aussage über den Namen der Gegenseite; keine Umkehrrichtung definiert."
 
 
@@ -62,6 +68,25 @@ def detail(index: Index, asked: DataFrame) -> DataFrame:
     return c.join(synonyms, "id", "left").join(areas, "id", "left").join(xrefs, "id", "left")
 
 
+def context(index: Index, secs: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (id) to (id, sec_title, classification: array of (level, ancestor_id, canonical, rank), root first).
+
+    A concept without ancestors has an empty classification, one whose reference has no title the title ''.
+    """
+    lines = classification(index, asked).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("level", "ancestor_id", "canonical", "rank"))).alias("classification"))
+    titles = secs.select(F.col("id").alias("sec_reference"), F.col("title").alias("sec_title"))
+    c = asked.join(index.concept.select("id", "sec_reference"), "id").join(titles, "sec_reference", "left").join(lines, "id", "left")
+    none = F.array().cast(lines.schema["classification"].dataType)
+    return c.select("id", F.coalesce("sec_title", F.lit("")).alias("sec_title"), F.coalesce("classification", none).alias("classification"))
+
+
+def by_xref(index: Index, asked: DataFrame) -> DataFrame:
+    """asked (authority, ext_id) to those columns and the `detail` of the concept that bears it; found is false for unknown ids."""
+    hit = asked.join(index.xref.select("authority", "ext_id", F.col("concept_id").alias("id")), ["authority", "ext_id"], "left")
+    full = detail(index, hit.where("id is not null").select("id").distinct())
+    return hit.join(full, "id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def xrefs_by_authority(index: Index) -> DataFrame:
     """(concept_id, xrefs: map authority -> ids)."""
     lists = index.xref.groupBy("concept_id", "authority").agg(F.array_sort(F.collect_list("ext_id")).alias("ids"))
@@ -99,8 +124,35 @@ def synonyms(index: Index, ranks: tuple[str, ...] = v.EXCLUDED_RANKS) -> DataFra
     )
 
 
-#: The order of a concept's synonyms.
-SYNONYM_ORDER = (F.desc, "publishable"), (F.asc, "order"), (F.desc, "is_basionym"), (F.asc, "name_id")
+def synonym_order() -> WindowSpec:
+    """The order of a concept's synonyms."""
+    return Window.partitionBy("concept_id").orderBy(F.desc("publishable"), "order", F.desc("is_basionym"), "name_id")
+
+
+def synonym_list(index: Index, asked: DataFrame, relevance: str = "all", rank: str = "", most: int = 0) -> DataFrame:
+    """asked (id) to (id, found, name_id, ..., position, truncated, total): each concept's judged synonyms in order.
+
+    relevance: all, or publication for the publishable ones; rank: species leaves lower ranks out of what is publishable;
+    most: 0 for no limit, at most MOST_SYNONYMS; truncated counts those beyond it, total those of every verdict. A concept
+    without synonyms keeps a row without name. Other values are refused.
+    """
+    relevance, rank = relevance.strip().lower() or "all", rank.strip().lower()
+    if relevance not in RELEVANCE:
+        raise ValueError(f"unknown relevance: {relevance}")
+    if rank not in PUBLICATION_RANKS:
+        raise ValueError(f"unsupported rank: {rank}")
+    if not 0 <= most <= MOST_SYNONYMS:
+        raise ValueError(f"max is not in 0 to {MOST_SYNONYMS}: {most}")
+    judged = synonyms(index, PUBLICATION_RANKS[rank])
+    totals = judged.groupBy(F.col("concept_id").alias("id")).agg(F.count(F.lit(1)).alias("total"), F.count_if("publishable").alias("able"))
+    listed = judged.where("publishable") if relevance == "publication" else judged
+    listed = listed.withColumn("position", F.row_number().over(synonym_order())).drop("order").withColumnRenamed("concept_id", "id")
+    listed = listed.where(F.col("position") <= most) if most else listed
+    known = asked.join(index.concept.select("id", F.lit(True).alias("found")), "id", "left").join(totals, "id", "left")
+    have = F.coalesce("able" if relevance == "publication" else "total", F.lit(0))
+    cut_off = F.greatest(have - most, F.lit(0)) if most else F.lit(0).cast("long")
+    known = known.select("id", F.coalesce("found", F.lit(False)).alias("found"), cut_off.cast("long").alias("truncated"), F.coalesce("total", F.lit(0)).alias("total"))
+    return known.join(listed, "id", "left")
 
 
 def synonym_summary(judged: DataFrame) -> DataFrame:
@@ -122,11 +174,12 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def translate(index: Index, edges: DataFrame, secs: DataFrame, asked: DataFrame, max_hops: int = 1) -> DataFrame:
     """asked (id, target_sec) to typed candidates in the target reference; a concept without any keeps one row with a note.
 
-    Only direct statements are followed (max_hops 1; more is refused). relation_from_source reads the statement from the
+    Unknown concepts have no row; an unknown reference is refused. Only direct statements are followed (max_hops 1; more is refused). relation_from_source reads the statement from the
     source's side, null where it has no inverse.
     """
     if max_hops not in (0, 1):
         raise ValueError("only one hop is supported")
+    require_secs(secs, asked)
     c = index.concept.select(F.col("id").alias("partner"), F.col("sec_reference").alias("target_sec"))
     e = both_ways(edges).join(c, "partner")
     known = asked.join(index.concept.select("id"), "id").join(secs.select(F.col("id").alias("target_sec"), F.col("title").alias("target_title")), "target_sec", "left")
@@ -139,6 +192,43 @@ def translate(index: Index, edges: DataFrame, secs: DataFrame, asked: DataFrame,
     return j.select("id", "target_sec", "target_title", "partner", "relation", "outgoing", seen.alias("relation_from_source"), F.coalesce(v.is_equality("relation"), F.lit(False)).alias("is_equality"), "source", note.alias("note"))
 
 
+def require_secs(secs: DataFrame, asked: DataFrame) -> None:
+    """Refuse requests into a reference that does not exist, before anything is translated."""
+    off = asked.select("target_sec").distinct().join(secs.select(F.col("id").alias("target_sec")), "target_sec", "left_anti").limit(1).collect()
+    if off:
+        raise ValueError(f"unknown reference: {off[0]['target_sec']}")
+
+
+def translate_verbatim(index: Index, lookup: DataFrame, edges: DataFrame, secs: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (rid, verbatim, target_sec) to (rid, verbatim, match_type, confidence, requires_review, ...): names as typed,
+    resolved by `match.match` and translated from the concept they stand for.
+
+    A name that does not resolve keeps one row a target with match_type unresolvable and no concept; one that resolves
+    by likeness only requires review. Each distinct name is resolved once.
+    """
+    require_secs(secs, asked)
+    texts = asked.select("verbatim").distinct().withColumn("id", F.sha2(F.coalesce("verbatim", F.lit("")), 256))
+    entry = mt.match(texts.select("id", "verbatim"), lookup).select("id", "match_type", "confidence", "concept_id", F.col("requires_review").alias("entry_review"))
+    read = texts.join(entry, "id", "left").drop("id")
+    read = read.withColumnRenamed("verbatim", "text")
+    reached = cut(asked.join(read, F.col("verbatim").eqNullSafe(F.col("text")), "left").select("rid", "verbatim", "target_sec", "match_type", "confidence", F.col("concept_id").alias("id"), "entry_review"))
+    out = translate(index, edges, secs, reached.where("id is not null").select("id", "target_sec").distinct())
+    j = reached.join(out, ["id", "target_sec"], "left")
+    return j.withColumn("requires_review", F.coalesce("entry_review", F.lit(True))).drop("entry_review")
+
+
+def with_name_candidates(index: Index, translated: DataFrame) -> DataFrame:
+    """translated with name_candidates (concepts of the target that merely bear the same name, in order) and requires_review.
+
+    They are looked for only where there is no statement, are no translation, and always require review.
+    """
+    open_ = translated.where("partner is null").select("id", "target_sec").distinct()
+    bear = name_candidates(index, open_).groupBy("id", "target_sec").agg(F.array_sort(F.collect_set("candidate")).alias("name_candidates"))
+    j = translated.join(bear, ["id", "target_sec"], "left").withColumn("name_candidates", F.coalesce(F.when(F.col("partner").isNull(), F.col("name_candidates")), F.array().cast("array<string>")))
+    some = F.size("name_candidates") > 0
+    return j.withColumn("note", F.when(some, F.concat_ws(" ", "note", F.lit(NOTE_NAMES))).otherwise(F.col("note"))).withColumn("requires_review", some)
+
+
 def name_candidates(index: Index, asked: DataFrame) -> DataFrame:
     """asked (id, target_sec) to (id, target_sec, candidate): concepts of the target that merely bear the same folded name."""
     fold = index.name.select(F.col("id").alias("accepted_name"), F.col("canonical_fold"))
@@ -152,3 +242,13 @@ def areas(index: Index) -> DataFrame:
     """(scheme, code, name) of every area that occurs, its name where known."""
     used = index.distribution.select(F.col("area_scheme").alias("scheme"), F.col("area_code").alias("code")).distinct()
     return used.join(index.area, ["scheme", "code"], "left").select("scheme", "code", F.coalesce("name", F.lit("")).alias("name"))
+
+
+def spaces(entries: DataFrame) -> DataFrame:
+    """(id, entries, concepts, aggregates) of every name space."""
+    return entries.groupBy(F.col("space").alias("id")).agg(F.count(F.lit(1)).alias("entries"), F.count_distinct("concept_id").alias("concepts"), F.count_if("aggregate").alias("aggregates"))
+
+
+def vocabularies(values: DataFrame) -> DataFrame:
+    """(vocab, version, n_values, concepts, dims) of every trait vocabulary that has values."""
+    return values.groupBy("vocab", F.col("vocab_version").alias("version")).agg(F.count(F.lit(1)).alias("n_values"), F.count_distinct("concept_id").alias("concepts"), F.array_sort(F.collect_set("dim")).alias("dims"))

@@ -153,20 +153,28 @@ def fuzzy(open_: DataFrame, lookup: DataFrame) -> DataFrame:
     return g.select("id", res.alias("near"))
 
 
-def in_space(results: DataFrame, rows: DataFrame, entries: DataFrame, space: str) -> DataFrame:
-    """results of `match` with target_space_name and aggregate_policy: the spelling that a name space uses for the concept.
+def spellings(entries: DataFrame, space: str) -> DataFrame:
+    """(concept_id, of_aggregate, of_plain, of_any): the spellings of a name space; an unknown space is refused.
 
-    A query for a collective species takes only such a spelling (policy known, else unresolvable); any other query takes a
-    plain spelling, else the first entry. Accepted spellings go first, then the order of the external ids.
+    Accepted spellings go first, then the order of the external ids; of_any is the first entry whatever it is.
     """
     e = entries.where(F.col("space") == space)
     if not e.limit(1).collect():
         raise ValueError(f"unknown name space: {space}")
     order = F.struct((F.col("status") != "accepted").alias("later"), "ext_id")
-    spelled = e.groupBy("concept_id").agg(
+    return e.groupBy("concept_id").agg(
         F.min_by(F.when(F.col("aggregate"), F.col("name")), F.when(F.col("aggregate"), order)).alias("of_aggregate"),
         F.min_by(F.when(~F.col("aggregate"), F.col("name")), F.when(~F.col("aggregate"), order)).alias("of_plain"), F.min_by("name", "ext_id").alias("of_any"),
     )
+
+
+def in_space(results: DataFrame, rows: DataFrame, entries: DataFrame, space: str) -> DataFrame:
+    """results of `match` with target_space_name and aggregate_policy: the spelling that a name space uses for the concept.
+
+    A query for a collective species takes only such a spelling (policy known, else unresolvable); any other query takes a
+    plain spelling, else the first entry.
+    """
+    spelled = spellings(entries, space)
     asks = rows.select("id", n.is_aggregate(n.split_verbatim("verbatim")[0]).alias("asks_aggregate"))
     j = results.join(asks, "id").join(spelled, "concept_id", "left")
     resolved = F.col("concept_id").isNotNull()

@@ -1,35 +1,21 @@
-"""Queries that read the index: suggestions, details, synonyms, traits, translation, catalogues, exports, analyses."""
+"""Queries that read the index for requests: suggestions, details, traits, synonyms, translation."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from florilege.functions import names as n
 from florilege.functions import vocabulary as v
-from florilege.operators import bundle as b
 from florilege.operators import ingest as g
 from florilege.operators import lookup as lk
 from florilege.operators import suggest as sg
 from florilege.plans import index as ix
 from florilege.plans import sql as s
-from florilege.plans.reference import _ENTRIES, _WON
-from florilege.session import cut
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
+from florilege.plans.reference import _ENTRIES, _WON, _match_sql
+from florilege.plans.registry import Registry
 
-def query(oracle: str | None = None) -> Callable:
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLE[f.__name__] = oracle
-        return f
-
-    return add
+registry = Registry()
+query, QUERIES, ORACLE = registry.query, registry.queries, registry.oracles
 
 
 # --- suggestions --------------------------------------------------------------------------------------------------------
@@ -59,8 +45,8 @@ m AS (SELECT h.qid, h.rowid, h.concept_id, h.is_aggregate, -greatest(ln((s.nn -
 @query(s.with_("lookup name_rows", "SELECT qid, rowid, concept_id, is_aggregate, round(score, 9) AS score FROM m", s.crosswalk("name_rows", "taxon", "lookup"), _ENTRIES, _SUGGEST))
 def suggest_matches(spark: SparkSession, sf: str) -> DataFrame:
     """Every index row that a beginning matches, with its BM25 score."""
-    rows = sg.index_rows(ix.index(spark, sf), ix.space_entries(spark, sf))
-    return sg.matches(rows, _asked(spark)).withColumn("score", F.round("score", 9))
+    rows = ix.search_rows(spark, sf)
+    return sg.matches(rows, _asked(spark)).drop("n").withColumn("score", F.round("score", 9))
 
 
 def _suggest_sql(area: str, rank: str) -> str:
@@ -71,19 +57,22 @@ pool AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY qi
 there AS (SELECT DISTINCT concept_id FROM closure WHERE area_code = '{area}'),
 cand AS (SELECT * FROM pool UNION ALL SELECT m.qid, m.rowid, m.concept_id, m.is_aggregate, 1e18 FROM m SEMI JOIN there t ON t.concept_id = m.concept_id ANTI JOIN pool p ON p.qid = m.qid AND p.rowid = m.rowid),
 each AS (SELECT x.qid, x.concept_id, min(x.score) AS score, max(x.is_aggregate) AS aggregate FROM cand x GROUP BY ALL),
-full_ AS (SELECT e.*, an.canonical, an.rank, c.status, (t.concept_id IS NOT NULL) AS in_area FROM each e JOIN concept c ON c.id = e.concept_id JOIN name an ON an.id = c.accepted_name LEFT JOIN there t ON t.concept_id = e.concept_id {where}),
+full_ AS (SELECT e.*, an.canonical, an.rank, c.status, coalesce(c.sec_reference, '') AS sec_reference, (t.concept_id IS NOT NULL) AS in_area FROM each e JOIN concept c ON c.id = e.concept_id JOIN name an ON an.id = c.accepted_name LEFT JOIN there t ON t.concept_id = e.concept_id {where}),
 fetched AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY in_area DESC, score, concept_id) AS f FROM full_) WHERE f <= 40),
 placed AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY in_area DESC, (status = 'ACCEPTED') DESC, CASE rank {order} ELSE 11 END, score, f) AS position FROM fetched)"""
 
 
 def _suggest_main(area: str, rank: str = "") -> str:
-    return s.with_("lookup name_rows closure", "SELECT qid, position, concept_id, canonical, rank, status, round(score, 9) AS score, in_area, aggregate FROM placed WHERE position <= 10", s.crosswalk("name_rows", "taxon", "lookup"), _ENTRIES, _SUGGEST, _suggest_sql(area, rank))
+    return s.with_("lookup name_rows closure", "SELECT qid, position, concept_id, canonical, rank, status, round(score, 9) AS score, in_area, aggregate, sec_reference FROM placed WHERE position <= 10", s.crosswalk("name_rows", "taxon", "lookup"), _ENTRIES, _SUGGEST, _suggest_sql(area, rank))
+
+
+_SPELLED = """spelled AS (SELECT concept_id, arg_min(name, (status <> 'accepted', ext_id)) FILTER (aggregate) AS of_aggregate, arg_min(name, (status <> 'accepted', ext_id)) FILTER (NOT aggregate) AS of_plain, arg_min(name, ext_id) AS of_any FROM entries GROUP BY concept_id)"""
 
 
 def _suggest(spark: SparkSession, sf: str, area: str, ranks: tuple[str, ...] = ()) -> DataFrame:
     i = ix.index(spark, sf)
-    rows = sg.index_rows(i, ix.space_entries(spark, sf))
-    return sg.suggest(rows, _asked(spark), i, g.closure(i), area=area, ranks=ranks).withColumn("score", F.round("score", 9))
+    rows = ix.search_rows(spark, sf)
+    return sg.suggest(rows, _asked(spark), i, ix.closure(spark, sf), area=area, ranks=ranks).withColumn("score", F.round("score", 9))
 
 
 @query(_suggest_main(""))
@@ -96,6 +85,21 @@ def suggest_in_area(spark: SparkSession, sf: str) -> DataFrame:
     return _suggest(spark, sf, "vmq")
 
 
+@query(s.with_("lookup name_rows closure", f"""SELECT p.qid, p.position, p.concept_id, p.canonical, p.rank, p.status, round(p.score, 9) AS score, p.in_area, p.aggregate, p.sec_reference,
+  coalesce(CASE WHEN {s.is_aggregate('a.q')} THEN z.of_aggregate ELSE coalesce(z.of_plain, z.of_any) END, '') AS target_space_name FROM placed p JOIN asked a ON a.qid = p.qid LEFT JOIN spelled z ON z.concept_id = p.concept_id WHERE position <= 10""",
+    s.crosswalk("name_rows", "taxon", "lookup"), _ENTRIES, _SUGGEST, _suggest_sql("VMQ", ""), _SPELLED))
+def suggest_in_space(spark: SparkSession, sf: str) -> DataFrame:
+    """Suggestions with the spelling that the name space has for each concept."""
+    return sg.in_space(_suggest(spark, sf, "vmq"), _asked(spark), ix.space_entries(spark, sf), "floraveg")
+
+
+@query(s.with_("concept", "SELECT backbone_id AS id, count(*) AS concepts, count(*) FILTER (rank = 'GENUS') AS genera FROM concept GROUP BY 1"))
+def catalogue_backbones(spark: SparkSession, sf: str) -> DataFrame:
+    """The backbones that a suggestion can come from, and how much of it they hold."""
+    c = ix.index(spark, sf).concept
+    return c.groupBy(F.col("backbone_id").alias("id")).agg(F.count(F.lit(1)).alias("concepts"), F.count_if(F.col("rank") == "GENUS").alias("genera"))
+
+
 @query(_suggest_main("VMQ", "GENUS"))
 def suggest_genera(spark: SparkSession, sf: str) -> DataFrame:
     return _suggest(spark, sf, "VMQ", ("GENUS",))
@@ -105,7 +109,7 @@ def suggest_genera(spark: SparkSession, sf: str) -> DataFrame:
 def suggest_composition(spark: SparkSession, sf: str) -> DataFrame:
     """What the beginnings match: rows, concepts, genera, distinct scores, ties at the best."""
     i = ix.index(spark, sf)
-    m = sg.matches(sg.index_rows(i, ix.space_entries(spark, sf)), _asked(spark)).join(i.concept.select(F.col("id").alias("concept_id"), "rank"), "concept_id")
+    m = sg.matches(ix.search_rows(spark, sf), _asked(spark)).join(i.concept.select(F.col("id").alias("concept_id"), "rank"), "concept_id")
     low = m.withColumn("low", F.min("score").over(Window.partitionBy("qid")))
     return low.groupBy("qid").agg(
         F.count(F.lit(1)).alias("index_rows"), F.count_distinct("concept_id").alias("concepts"), F.count_distinct(F.when(F.col("rank") == "GENUS", F.col("concept_id"))).alias("genera"),
@@ -127,18 +131,18 @@ def _typed(spark: SparkSession, sf: str) -> DataFrame:
 @query(s.with_("lookup name_rows", "SELECT qid, rowid, concept_id, is_aggregate, round(score, 9) AS score FROM m", s.crosswalk("name_rows", "taxon", "lookup"), _ENTRIES, _SUGGEST_TYPED))
 def suggest_typed_matches(spark: SparkSession, sf: str) -> DataFrame:
     """Every index row that a beginning of a typed name matches."""
-    rows = sg.index_rows(ix.index(spark, sf), ix.space_entries(spark, sf))
-    return sg.matches(rows, _typed(spark, sf)).withColumn("score", F.round("score", 9))
+    rows = ix.search_rows(spark, sf)
+    return sg.matches(rows, _typed(spark, sf)).drop("n").withColumn("score", F.round("score", 9))
 
 
 def _suggest_typed_main(area: str, rank: str = "") -> str:
-    return s.with_("lookup name_rows closure", "SELECT qid, position, concept_id, canonical, rank, status, round(score, 9) AS score, in_area, aggregate FROM placed WHERE position <= 10", s.crosswalk("name_rows", "taxon", "lookup"), _ENTRIES, _SUGGEST_TYPED, _suggest_sql(area, rank))
+    return s.with_("lookup name_rows closure", "SELECT qid, position, concept_id, canonical, rank, status, round(score, 9) AS score, in_area, aggregate, sec_reference FROM placed WHERE position <= 10", s.crosswalk("name_rows", "taxon", "lookup"), _ENTRIES, _SUGGEST_TYPED, _suggest_sql(area, rank))
 
 
 def _suggest_typed(spark: SparkSession, sf: str, area: str, ranks: tuple[str, ...] = ()) -> DataFrame:
     i = ix.index(spark, sf)
-    rows = sg.index_rows(i, ix.space_entries(spark, sf))
-    return sg.suggest(rows, _typed(spark, sf), i, g.closure(i), area=area, ranks=ranks).withColumn("score", F.round("score", 9))
+    rows = ix.search_rows(spark, sf)
+    return sg.suggest(rows, _typed(spark, sf), i, ix.closure(spark, sf), area=area, ranks=ranks).withColumn("score", F.round("score", 9))
 
 
 @query(_suggest_typed_main(""))
@@ -160,7 +164,7 @@ def suggest_typed_genera(spark: SparkSession, sf: str) -> DataFrame:
 def suggest_typed_composition(spark: SparkSession, sf: str) -> DataFrame:
     """What the beginnings of typed names match: rows, concepts, genera, distinct scores, ties at the best."""
     i = ix.index(spark, sf)
-    m = sg.matches(sg.index_rows(i, ix.space_entries(spark, sf)), _typed(spark, sf)).join(i.concept.select(F.col("id").alias("concept_id"), "rank"), "concept_id")
+    m = sg.matches(ix.search_rows(spark, sf), _typed(spark, sf)).join(i.concept.select(F.col("id").alias("concept_id"), "rank"), "concept_id")
     low = m.withColumn("low", F.min("score").over(Window.partitionBy("qid")))
     return low.groupBy("qid").agg(
         F.count(F.lit(1)).alias("index_rows"), F.count_distinct("concept_id").alias("concepts"), F.count_distinct(F.when(F.col("rank") == "GENUS", F.col("concept_id"))).alias("genera"),
@@ -204,7 +208,25 @@ def concept_classification(spark: SparkSession, sf: str) -> DataFrame:
 @query(s.with_("xref concept", "SELECT x.authority, x.ext_id, c.id, c.rank, c.status FROM xref x JOIN concept c ON c.id = x.concept_id"))
 def xref_reverse(spark: SparkSession, sf: str) -> DataFrame:
     i = ix.index(spark, sf)
-    return i.xref.join(i.concept, i.xref["concept_id"] == i.concept["id"]).select("authority", "ext_id", "id", "rank", "status")
+    return lk.by_xref(i, i.xref.select("authority", "ext_id")).select("authority", "ext_id", "id", "rank", "status")
+
+
+@query(s.with_("concept name secs", f"""SELECT c.id, coalesce(t.title, '') AS sec_title, coalesce(w.path, '') AS classification FROM concept c LEFT JOIN secs t ON t.id = c.sec_reference
+  LEFT JOIN (SELECT k.id, string_agg(n.canonical, ' > ' ORDER BY k.up DESC) AS path FROM walk k JOIN concept p ON p.id = k.node JOIN name n ON n.id = p.accepted_name WHERE k.up > 0 GROUP BY k.id) w ON w.id = c.id""",
+    "walk AS (SELECT id, id AS node, 0 AS up FROM concept UNION ALL SELECT w.id, p.id, w.up + 1 FROM walk w JOIN concept c ON c.id = w.node JOIN concept p ON p.id = c.parent_id WHERE w.up < 10)", recursive=True))
+def concept_context(spark: SparkSession, sf: str) -> DataFrame:
+    """The rest of a concept's detail: the title of its reference and its classification from the root down."""
+    i = ix.index(spark, sf)
+    c = lk.context(i, ix.secs(spark, sf), i.concept.select("id"))
+    return c.select("id", "sec_title", F.array_join(F.transform("classification", lambda x: x["canonical"]), " > ").alias("classification"))
+
+
+@query(s.with_("xref", "SELECT concept_id, string_agg(authority || '=' || ids, ';' ORDER BY authority) AS xrefs FROM (SELECT concept_id, authority, string_agg(ext_id, ',' ORDER BY ext_id) AS ids FROM xref GROUP BY ALL) GROUP BY 1"))
+def concept_xrefs(spark: SparkSession, sf: str) -> DataFrame:
+    """Each concept's cross-references as a map from authority to ids."""
+    x = lk.xrefs_by_authority(ix.index(spark, sf))
+    entries = F.transform(F.array_sort(F.map_entries("xrefs")), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ",")))
+    return x.select("concept_id", F.array_join(entries, ";").alias("xrefs"))
 
 
 @query(s.with_("concept trait_keys trait_rows", """SELECT a.id, (c.id IS NOT NULL) AS found, w.vocab, w.vocab_version AS version, w.dim, w.value, w.niche_width, w.n_systems, w.resolution, CASE WHEN w.vocab IS NOT NULL THEN 'EIVE' END AS taxonomy,
@@ -226,8 +248,7 @@ judged AS (SELECT *, CASE WHEN judgement = 'disqualifying' THEN 'nom_status' WHE
 @query(s.with_("concept_name name concept", "SELECT concept_id, name_id, canonical, rank, typification, is_basionym, judgement, exclusion = '' AS publishable, exclusion, row_number() OVER (PARTITION BY concept_id ORDER BY (exclusion = '') DESC, ord, is_basionym DESC, name_id) AS position FROM judged", _SYN))
 def synonyms_ranked(spark: SparkSession, sf: str) -> DataFrame:
     j = lk.synonyms(ix.index(spark, sf))
-    order = Window.partitionBy("concept_id").orderBy(F.desc("publishable"), "order", F.desc("is_basionym"), "name_id")
-    return j.withColumn("position", F.row_number().over(order)).drop("reason", "status_text", "order")
+    return j.withColumn("position", F.row_number().over(lk.synonym_order())).drop("reason", "status_text", "order")
 
 
 @query(s.with_("concept_name name concept", """SELECT concept_id, count(*) AS total, count(*) FILTER (exclusion = '') AS publishable, count(*) FILTER (exclusion = '' AND judgement = 'absent') AS absent, count(*) FILTER (exclusion = 'nom_status') AS excluded_nom_status,
@@ -236,333 +257,77 @@ def synonyms_summary(spark: SparkSession, sf: str) -> DataFrame:
     return lk.synonym_summary(lk.synonyms(ix.index(spark, sf))).withColumn("unclassified", F.array_join("unclassified", "|"))
 
 
-@query()
-def synonyms_reasons(spark: SparkSession, sf: str) -> DataFrame:
-    return lk.synonyms(ix.index(spark, sf)).select("concept_id", "name_id", "exclusion", "reason")
-
-
-# --- translation --------------------------------------------------------------------------------------------------------
-
-_BOTH = "both_ways AS (SELECT from_id AS id, to_id AS partner, relation, source, TRUE AS outgoing FROM edges WHERE from_id <> to_id UNION ALL SELECT to_id, from_id, relation, source, FALSE FROM edges WHERE from_id <> to_id)"
-_PAIRS = "pairs AS (SELECT c.id, t.id AS target_sec, t.title AS target_title FROM concept c, (SELECT * FROM secs ORDER BY id LIMIT 1) t WHERE c.backbone_id = 'cdm')"
-_INV = s.case("k.relation", v.INVERSE)
+_NOM_WHY = f"""CASE WHEN judgement = 'absent' THEN 'no nom_status recorded (not the same as verified clean)' WHEN len(matched) = 0 THEN 'nom_status ' || {s.quoted('raw')} || ' matches no known token'
+  ELSE 'nom_status ' || {s.quoted('raw')} || ': ' || judgement || ' (' || array_to_string(list_transform(matched, lambda x: {s.quoted('x')}), ', ') || ')' END"""
 
 
-def _into_first(spark: SparkSession, sf: str, index: g.Index) -> DataFrame:
-    """Every concept of the concept source, asked into the reference with the smallest id."""
-    target = ix.secs(spark, sf).agg(F.min("id").alias("t")).scalar()
-    return index.concept.where("backbone_id = 'cdm'").select("id", target.alias("target_sec"))
+@query(s.with_("concept_name name concept", f"""SELECT concept_id, name_id, exclusion, CASE exclusion WHEN 'nom_status' THEN why WHEN 'unclassified_nom_status' THEN 'withheld for review: ' || why WHEN 'rank' THEN 'rank ' || rank || ' excluded by the caller' ELSE typification || ', ' || why END AS reason
+  FROM (SELECT *, {_NOM_WHY} AS why FROM (SELECT j.*, coalesce(n.nom_status, '') AS raw, {s.nom_matched('n.nom_status')} AS matched FROM judged j JOIN name n ON n.id = j.name_id))""", _SYN))
+def synonyms_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    return lk.synonyms(ix.index(spark, sf)).select("concept_id", "name_id", "exclusion", "reason")
 
 
-@query(s.with_("concept edges secs", f"""SELECT p.id, p.target_sec, p.target_title, k.partner, k.relation, k.outgoing, CASE WHEN k.outgoing THEN k.relation ELSE {_INV} END AS relation_from_source, coalesce(k.relation = 'congruent', FALSE) AS is_equality, k.source,
-  CASE WHEN k.partner IS NULL THEN {s.q(lk.NOTE_NO_RELATION)} WHEN NOT k.outgoing AND {_INV} IS NULL THEN {s.q(lk.NOTE_NO_INVERSE)} WHEN k.relation = 'congruent' THEN '' WHEN k.relation = 'includes_or_included_in_or_overlaps' THEN {s.q(lk.NOTE_UNCERTAIN)} ELSE {s.q(lk.NOTE_NOT_EQUAL)} END AS note
-  FROM pairs p LEFT JOIN (SELECT b.*, c.sec_reference FROM both_ways b JOIN concept c ON c.id = b.partner) k ON k.id = p.id AND k.sec_reference = p.target_sec""", _BOTH, _PAIRS))
-def translate_all(spark: SparkSession, sf: str) -> DataFrame:
+@query(s.with_("concept_name name concept", """SELECT c.id, TRUE AS found, p.name_id, p.canonical, p.position::DOUBLE AS position, (coalesce(t.n, 0) - least(coalesce(t.n, 0), 2))::BIGINT AS truncated, coalesce(t.total, 0)::BIGINT AS total FROM concept c
+  LEFT JOIN (SELECT concept_id, count(*) FILTER (exclusion = '') AS n, count(*) AS total FROM judged GROUP BY 1) t ON t.concept_id = c.id
+  LEFT JOIN (SELECT concept_id, name_id, canonical, row_number() OVER (PARTITION BY concept_id ORDER BY ord, is_basionym DESC, name_id) AS position FROM judged WHERE exclusion = '') p ON p.concept_id = c.id AND p.position <= 2
+  UNION ALL SELECT 'wcvp:concept:none', FALSE, NULL, NULL, NULL, 0, 0""", _SYN))
+def synonyms_to_publish(spark: SparkSession, sf: str) -> DataFrame:
+    """At most two synonyms of every concept that may be published, species rank asked for, and how many more there are."""
     i = ix.index(spark, sf)
-    return lk.translate(i, ix.edges(spark, sf), ix.secs(spark, sf), _into_first(spark, sf, i))
-
+    return lk.synonym_list(i, _ask(i, spark), relevance="publication", rank="species", most=2).select("id", "found", "name_id", "canonical", F.col("position").cast("double").alias("position"), "truncated", "total")
 
-@query(s.with_("concept name lookup secs", "SELECT DISTINCT p.id, p.target_sec, l.concept_id AS candidate FROM pairs p JOIN concept c ON c.id = p.id JOIN name n ON n.id = c.accepted_name AND n.canonical_fold <> '' JOIN lookup l ON l.canonical_fold = n.canonical_fold AND l.sec_reference = p.target_sec WHERE l.concept_id <> p.id", _PAIRS))
-def translate_by_name(spark: SparkSession, sf: str) -> DataFrame:
-    i = ix.index(spark, sf)
-    return lk.name_candidates(i, _into_first(spark, sf, i))
 
+# --- translation --------------------------------------------------------------------------------------------------------
 
+_BOTH = "both_ways AS (SELECT from_id AS id, to_id AS partner, relation, source, TRUE AS outgoing FROM edges WHERE from_id <> to_id UNION ALL SELECT to_id, from_id, relation, source, FALSE FROM edges WHERE from_id <> to_id)"
+_INV = s.case("k.relation", v.INVERSE)
 _EVERY_PAIR = "pairs AS (SELECT c.id, t.id AS target_sec, t.title AS target_title FROM concept c CROSS JOIN secs t WHERE c.backbone_id = 'cdm')"
 
 
 def _into_every(spark: SparkSession, sf: str, index: g.Index) -> DataFrame:
     """Every concept of the concept source, asked into every reference, its own included."""
     targets = ix.secs(spark, sf).select(F.col("id").alias("target_sec"))
-    return index.concept.where("backbone_id = 'cdm'").select("id").crossJoin(targets)
+    return index.concept.where("backbone_id = 'cdm'").select("id").join(targets, F.lit(True))  # as many rows as are asked for
 
 
 @query(s.with_("concept edges secs", f"""SELECT p.id, p.target_sec, p.target_title, k.partner, k.relation, k.outgoing, CASE WHEN k.outgoing THEN k.relation ELSE {_INV} END AS relation_from_source, coalesce(k.relation = 'congruent', FALSE) AS is_equality, k.source,
   CASE WHEN k.partner IS NULL THEN {s.q(lk.NOTE_NO_RELATION)} WHEN NOT k.outgoing AND {_INV} IS NULL THEN {s.q(lk.NOTE_NO_INVERSE)} WHEN k.relation = 'congruent' THEN '' WHEN k.relation = 'includes_or_included_in_or_overlaps' THEN {s.q(lk.NOTE_UNCERTAIN)} ELSE {s.q(lk.NOTE_NOT_EQUAL)} END AS note
   FROM pairs p LEFT JOIN (SELECT b.*, c.sec_reference FROM both_ways b JOIN concept c ON c.id = b.partner) k ON k.id = p.id AND k.sec_reference = p.target_sec""", _BOTH, _EVERY_PAIR))
-def translate_everywhere(spark: SparkSession, sf: str) -> DataFrame:
+def translate_all(spark: SparkSession, sf: str) -> DataFrame:
     i = ix.index(spark, sf)
     return lk.translate(i, ix.edges(spark, sf), ix.secs(spark, sf), _into_every(spark, sf, i))
 
 
 @query(s.with_("concept name lookup secs", "SELECT DISTINCT p.id, p.target_sec, l.concept_id AS candidate FROM pairs p JOIN concept c ON c.id = p.id JOIN name n ON n.id = c.accepted_name AND n.canonical_fold <> '' JOIN lookup l ON l.canonical_fold = n.canonical_fold AND l.sec_reference = p.target_sec WHERE l.concept_id <> p.id", _EVERY_PAIR))
-def translate_by_name_everywhere(spark: SparkSession, sf: str) -> DataFrame:
+def translate_by_name(spark: SparkSession, sf: str) -> DataFrame:
     i = ix.index(spark, sf)
     return lk.name_candidates(i, _into_every(spark, sf, i))
 
 
-# --- catalogues and exports ---------------------------------------------------------------------------------------------
-
-
-@query(s.with_("distribution area", "SELECT d.scheme, d.code, coalesce(a.name, '') AS name FROM (SELECT DISTINCT area_scheme AS scheme, area_code AS code FROM distribution) d LEFT JOIN area a ON a.scheme = d.scheme AND a.code = d.code"))
-def catalogue_areas(spark: SparkSession, sf: str) -> DataFrame:
-    return lk.areas(ix.index(spark, sf))
-
-
-@query(s.with_("secs", "SELECT * FROM secs"))
-def catalogue_secs(spark: SparkSession, sf: str) -> DataFrame:
-    return ix.secs(spark, sf)
-
-
-@query(s.with_("concept", "SELECT backbone_id, count(*) AS concepts FROM concept GROUP BY 1"))
-def catalogue_backbones(spark: SparkSession, sf: str) -> DataFrame:
-    return ix.index(spark, sf).concept.groupBy("backbone_id").agg(F.count(F.lit(1)).alias("concepts"))
-
-
-_SCOPE = "scope AS (SELECT DISTINCT concept_id AS id FROM distribution WHERE area_code IN ('VMQ', 'KYC', 'BDR'))"
-_AREAS = "vmq, KYC,bdr,kyc"
-
-
-@query(s.with_("distribution concept", "SELECT c.id, c.backbone_id, c.accepted_name, c.rank, c.rank_verbatim, c.status, CASE WHEN p.id IS NOT NULL THEN c.parent_id END AS parent_id, c.sec_reference FROM concept c SEMI JOIN scope s ON s.id = c.id LEFT JOIN scope p ON p.id = c.parent_id", _SCOPE))
-def bundle_concepts(spark: SparkSession, sf: str) -> DataFrame:
-    i = ix.index(spark, sf)
-    return b.export(i, b.scope(i, _AREAS), _AREAS).concept
-
-
-@query(s.with_("distribution concept concept_name name", """SELECT n.id, n.canonical, n.canonical_fold, n.authorship, n.rank, n.rank_verbatim, n.ipni_id, n.published_in, n.nom_status, CASE WHEN k.id IS NOT NULL THEN n.basionym_id END AS basionym_id FROM name n SEMI JOIN kept s ON s.id = n.id LEFT JOIN kept k ON k.id = n.basionym_id""",
-    _SCOPE, "kept AS (SELECT DISTINCT cn.name_id AS id FROM concept_name cn SEMI JOIN scope s ON s.id = cn.concept_id)"))
-def bundle_names(spark: SparkSession, sf: str) -> DataFrame:
-    i = ix.index(spark, sf)
-    return b.export(i, b.scope(i, _AREAS), _AREAS).name
+_TYPED_IN = """typed AS (SELECT 'f:' || seq AS rid, taxon AS verbatim FROM name_rows),
+hit AS (SELECT t.rid, d.match_type, d.concept_id FROM typed t JOIN decided d ON d.id = t.rid WHERE d.concept_id IS NOT NULL)"""
 
 
-@query(s.with_("distribution", "SELECT d.* FROM distribution d SEMI JOIN scope s ON s.id = d.concept_id WHERE d.area_code IN ('VMQ', 'KYC', 'BDR')", _SCOPE))
-def bundle_distribution(spark: SparkSession, sf: str) -> DataFrame:
-    i = ix.index(spark, sf)
-    return b.export(i, b.scope(i, _AREAS), _AREAS).distribution
-
-
-@query(s.with_("distribution concept", """SELECT id, CASE max(CASE r WHEN 'restricted' THEN 2 WHEN 'unknown' THEN 1 ELSE 0 END) WHEN 2 THEN 'restricted' WHEN 1 THEN 'unknown' ELSE 'allowed' END AS redistribution FROM (
-  SELECT c.backbone_id AS id, 'unknown' AS r FROM concept c SEMI JOIN scope s ON s.id = c.id WHERE c.backbone_id = 'wcvp' UNION ALL SELECT 'wcvp', 'restricted' FROM scope) GROUP BY id""", _SCOPE))
-def bundle_restricted(spark: SparkSession, sf: str) -> DataFrame:
-    """The sources that stand in the way of an export; two catalogues name the checklist with different licences."""
-    i = ix.index(spark, sf)
-    schema = "id string, redistribution string"
-    uses = [(spark.createDataFrame([("wcvp", r), ("list", "allowed")], schema), i.concept.select(F.col("backbone_id").alias("id"), F.col("id").alias("concept_id"))) for r in ("unknown", "restricted")]
-    return b.restricted_sources(uses, b.scope(i, _AREAS))
-
-
-def _exported(name: str, table: str, oracle: str, everywhere: bool) -> None:
-    """Register a table of the export: of the three areas, or of all."""
-    area = "" if everywhere else _AREAS
-
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        i = ix.index(spark, sf)
-        out = b.export(i, b.scope(i, area), area)
-        return g.closure(out) if table == "distribution_effective" else getattr(out, table)
-
-    run.__name__ = run.__qualname__ = name
-    query(oracle)(run)
-
-
-_EXPORTED = {
-    "concepts": ("concept", "SELECT c.id, c.backbone_id, c.accepted_name, c.rank, c.rank_verbatim, c.status, CASE WHEN p.id IS NOT NULL THEN c.parent_id END AS parent_id, c.sec_reference FROM concept c SEMI JOIN scope s ON s.id = c.id LEFT JOIN scope p ON p.id = c.parent_id"),
-    "names": ("name", "SELECT n.id, n.canonical, n.canonical_fold, n.authorship, n.rank, n.rank_verbatim, n.ipni_id, n.published_in, n.nom_status, CASE WHEN k.id IS NOT NULL THEN n.basionym_id END AS basionym_id FROM name n SEMI JOIN kept s ON s.id = n.id LEFT JOIN kept k ON k.id = n.basionym_id"),
-    "concept_names": ("concept_name", "SELECT cn.* FROM concept_name cn SEMI JOIN scope s ON s.id = cn.concept_id"),
-    "xrefs": ("xref", "SELECT x.*, NULL AS source FROM xref x SEMI JOIN scope s ON s.id = x.concept_id"),
-    "distribution": ("distribution", "SELECT * FROM within"),
-    "areas": ("area", "SELECT a.* FROM area a SEMI JOIN within w ON w.area_scheme = a.scheme AND w.area_code = a.code"),
-    "effective": ("distribution_effective", """SELECT concept_id, area_scheme, area_code, 'own' AS origin FROM within UNION ALL SELECT DISTINCT c.id, d.area_scheme, d.area_code, 'name' FROM concept c SEMI JOIN scope s ON s.id = c.id JOIN name an ON an.id = c.accepted_name AND an.canonical_fold <> ''
-  JOIN name wn ON wn.canonical_fold = an.canonical_fold JOIN concept_name wc ON wc.name_id = wn.id JOIN concept w ON w.id = wc.concept_id AND w.backbone_id = 'wcvp' JOIN within d ON d.concept_id = w.id WHERE NOT EXISTS (SELECT 1 FROM within o WHERE o.concept_id = c.id)"""),
-}
-_ALL = "scope AS (SELECT id FROM concept)", "within AS (SELECT * FROM distribution)"
-_THREE = _SCOPE, "within AS (SELECT * FROM distribution WHERE area_code IN ('VMQ', 'KYC', 'BDR'))"
-_KEPT = "kept AS (SELECT DISTINCT cn.name_id AS id FROM concept_name cn SEMI JOIN scope s ON s.id = cn.concept_id)"
-for _name, (_table, _main) in _EXPORTED.items():
-    _exported(f"bundle_all_{_name}", _table, s.with_("concept name concept_name xref distribution area", _main, *_ALL, _KEPT), True)
-    if f"bundle_{_name}" not in QUERIES:
-        _exported(f"bundle_{_name}", _table, s.with_("concept name concept_name xref distribution area", _main, *_THREE, _KEPT), False)
-
-
-# --- analyses -----------------------------------------------------------------------------------------------------------
-
-
-@query(s.with_("name concept concept_name distribution xref", """SELECT 'name_rows' AS key, count(*) AS n FROM name UNION ALL SELECT 'concept_rows', count(*) FROM concept UNION ALL SELECT 'concept_name_' || role, count(*) FROM concept_name GROUP BY role
-UNION ALL SELECT 'distribution_rows', count(*) FROM distribution UNION ALL SELECT 'distinct_area_codes', count(DISTINCT area_code) FROM distribution UNION ALL SELECT 'xref_rows', count(*) FROM xref
-UNION ALL SELECT 'concepts_rank_' || rank, count(*) FROM concept GROUP BY rank UNION ALL SELECT 'names_rank_' || rank, count(*) FROM name GROUP BY rank"""))
-def index_statistics(spark: SparkSession, sf: str) -> DataFrame:
+@query(s.with_("name_rows verbatim lookup concept edges secs", f"""SELECT h.rid, h.match_type, h.concept_id AS id, t.id AS target_sec, k.partner, k.relation, k.outgoing, FALSE AS requires_review,
+  CASE WHEN k.partner IS NULL THEN {s.q(lk.NOTE_NO_RELATION)} WHEN NOT k.outgoing AND {_INV} IS NULL THEN {s.q(lk.NOTE_NO_INVERSE)} WHEN k.relation = 'congruent' THEN '' WHEN k.relation = 'includes_or_included_in_or_overlaps' THEN {s.q(lk.NOTE_UNCERTAIN)} ELSE {s.q(lk.NOTE_NOT_EQUAL)} END AS note
+  FROM hit h CROSS JOIN secs t LEFT JOIN (SELECT b.*, c.sec_reference FROM both_ways b JOIN concept c ON c.id = b.partner) k ON k.id = h.concept_id AND k.sec_reference = t.id""", _match_sql(), _TYPED_IN, _BOTH))
+def translate_typed(spark: SparkSession, sf: str) -> DataFrame:
+    """The names of the name list that resolve for sure, translated into every reference."""
     i = ix.index(spark, sf)
-    rows = lambda k, df: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("key"), "n")
-    per = lambda k, df, c: df.groupBy(c).agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit(k), c).alias("key"), "n")
-    areas = i.distribution.agg(F.count_distinct("area_code").alias("n")).select(F.lit("distinct_area_codes").alias("key"), "n")
-    parts = [rows("name_rows", i.name), rows("concept_rows", i.concept), per("concept_name_", i.concept_name, "role"), rows("distribution_rows", i.distribution), areas, rows("xref_rows", i.xref), per("concepts_rank_", i.concept, "rank"), per("names_rank_", i.name, "rank")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-@query(s.with_("trait_keys trait_rows", "SELECT vocab, coalesce(resolution, 'exact') AS resolution, count(DISTINCT concept_id) AS concepts FROM won WHERE k = 1 GROUP BY ALL", s.crosswalk("trait_rows", "taxon", "trait_keys"), _WON))
-def trait_resolution(spark: SparkSession, sf: str) -> DataFrame:
-    return ix.trait_values(spark, sf).groupBy("vocab", F.coalesce("resolution", F.lit("exact")).alias("resolution")).agg(F.count_distinct("concept_id").alias("concepts"))
-
-
-@query(s.with_("lookup", """SELECT 'all' AS filter, count(*) AS folds, count(*) FILTER (k > 1) AS ambiguous, max(k) AS most FROM (SELECT canonical_fold, count(DISTINCT concept_id) AS k FROM lookup GROUP BY 1)
-UNION ALL SELECT 'wcvp', count(*), count(*) FILTER (k > 1), max(k) FROM (SELECT canonical_fold, count(DISTINCT concept_id) AS k FROM lookup WHERE backbone_id = 'wcvp' GROUP BY 1)"""))
-def ambiguity(spark: SparkSession, sf: str) -> DataFrame:
-    """Folded names that several concepts bear, before and after a backbone is chosen."""
-    l = g.lookup(ix.index(spark, sf))
-
-    def count(df: DataFrame, label: str) -> DataFrame:
-        k = df.groupBy("canonical_fold").agg(F.count_distinct("concept_id").alias("k"))
-        return k.agg(F.count(F.lit(1)).alias("folds"), F.count_if(F.col("k") > 1).alias("ambiguous"), F.max("k").alias("most")).select(F.lit(label).alias("filter"), "folds", "ambiguous", "most")
-
-    return count(l, "all").unionByName(count(l.where("backbone_id = 'wcvp'"), "wcvp"))
-
-
-_SETS = {"none": ("exact",), "hybrids": ("exact", "hybrid_spacing", "hybrid_marker_dropped", "hybrid_marker_added"), "no_flagged": tuple(r for r in n.RULES if r not in n.FLAGGED), "all": n.RULES}
-
-
-@query(s.with_("lookup name_rows", f"""SELECT s.rules, sum(t.rows)::BIGINT AS n_rows, (sum(t.rows) FILTER (b.n = 1))::BIGINT AS resolved FROM (SELECT {s.fold('taxon')} AS canon, count(*) AS rows FROM name_rows GROUP BY 1) t CROSS JOIN (SELECT DISTINCT rules FROM sets) s
-  LEFT JOIN (SELECT rules, canon, n FROM (SELECT x.rules, r.canon, t.n, row_number() OVER (PARTITION BY x.rules, r.canon ORDER BY r.ord) AS k FROM rungs r JOIN sets x ON x.rule = r.rule JOIN targets t ON t.canonical_fold = r.key) WHERE k = 1) b ON b.canon = t.canon AND b.rules = s.rules GROUP BY ALL""",
-    s.crosswalk("name_rows", "taxon", "lookup"), "sets AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{r}')" for k, rs in _SETS.items() for r in rs) + ") v(rules, rule))"))
-def rule_ablation(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows of the name list that resolve under several sets of ladder rules: one ladder, every set's rungs, first answer by set."""
-    rows = ix.name_rows(spark, sf).groupBy(n.canonicalize("taxon").alias("canon")).agg(F.count(F.lit(1)).alias("rows"))
-    targets = g.lookup(ix.index(spark, sf)).groupBy("canonical_fold").agg(F.count_distinct("concept_id").alias("n"))
-    rungs = rows.select("canon", "rows", F.explode(n.ladder("canon")).alias("r"))
-    hits = rungs.join(targets, F.col("r.key") == F.col("canonical_fold")).select("canon", "rows", "r.ord", "r.rule", "n")
-    sets = F.explode(F.array(*[F.struct(F.lit(k).alias("rules"), F.array(*[F.lit(r) for r in rs]).alias("allowed")) for k, rs in _SETS.items()]))
-    by_set = hits.withColumn("x", sets).where(F.array_contains("x.allowed", F.col("rule"))).groupBy("x.rules", "canon").agg(F.min_by("n", "ord").alias("n"), F.first("rows").alias("rows"))
-    resolved = by_set.where("n = 1").groupBy("rules").agg(F.sum("rows").alias("resolved"))
-    every = rows.agg(F.sum("rows").alias("n_rows")).withColumn("rules", F.explode(F.array(*[F.lit(k) for k in _SETS])))
-    return every.join(resolved, "rules", "left").select("rules", "n_rows", "resolved")
-
-
-_HYBRID = ("hybrid_spacing", "hybrid_marker_dropped", "hybrid_marker_added")
-#: The measured sets of rules, the first is what the others are compared with.
-_TEN = {
-    "exact": (), "hybrid_spacing": _HYBRID[:1], "hybrid_marker_dropped": _HYBRID[1:2], "hybrid_marker_added": _HYBRID[2:], "hybrid": _HYBRID, "aggregate_marked": ("aggregate",),
-    "aggregate": ("aggregate", "aggregate_to_nominate"), "autonym": ("autonym",), "orthography_genitive": ("orthography_genitive",), "all": n.RULES[1:],
-}
-_COUNTED = [f"{x}_{o}" for x in ("rows", "taxa") for o in ("matched", "unmatched", "ambiguous")]
-
-
-@query(s.with_("lookup name_rows", f"""SELECT *, {', '.join(f"{c} - max({c}) FILTER (rules = 'exact') OVER () AS {c}_delta" for c in _COUNTED)} FROM (
-  SELECT s.rules, {', '.join(f"coalesce(sum({'t.rows' if c[0] == 'r' else '1'}) FILTER ({ {'matched': 'b.n = 1', 'unmatched': 'b.n IS NULL', 'ambiguous': 'b.n > 1'}[c[5:]] }), 0)::BIGINT AS {c}" for c in _COUNTED)}
-  FROM (SELECT {s.fold('taxon')} AS canon, count(*) AS rows FROM name_rows GROUP BY 1) t CROSS JOIN (SELECT DISTINCT rules FROM sets) s
-  LEFT JOIN (SELECT rules, canon, n FROM (SELECT x.rules, r.canon, t.n, row_number() OVER (PARTITION BY x.rules, r.canon ORDER BY r.ord) AS k FROM rungs r JOIN sets x ON x.rule = r.rule JOIN targets t ON t.canonical_fold = r.key) WHERE k = 1) b ON b.canon = t.canon AND b.rules = s.rules GROUP BY s.rules)""",
-    s.crosswalk("name_rows", "taxon", "lookup"), "sets AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{r}')" for k, rs in _TEN.items() for r in ("exact", *rs)) + ") v(rules, rule))"))
-def rule_ablation_deltas(spark: SparkSession, sf: str) -> DataFrame:
-    """Outcomes of the name list under the ten measured sets of ladder rules, by row and by name, and their distance to exact names alone."""
-    rows = ix.name_rows(spark, sf).groupBy(n.canonicalize("taxon").alias("canon")).agg(F.count(F.lit(1)).alias("rows"))
-    targets = g.lookup(ix.index(spark, sf)).groupBy("canonical_fold").agg(F.count_distinct("concept_id").alias("n"))
-    rungs = rows.select("canon", "rows", F.explode(n.ladder("canon")).alias("r"))
-    hits = rungs.join(targets, F.col("r.key") == F.col("canonical_fold")).select("canon", "rows", "r.ord", "r.rule", "n")
-    sets = F.explode(F.array(*[F.struct(F.lit(k).alias("rules"), F.array(*[F.lit(r) for r in ("exact", *rs)]).alias("allowed")) for k, rs in _TEN.items()]))
-    by_set = hits.withColumn("x", sets).where(F.array_contains("x.allowed", F.col("rule"))).groupBy("x.rules", "canon").agg(F.min_by("n", "ord").alias("n"), F.first("rows").alias("rows"))
-    one, several = F.col("n") == 1, F.col("n") > 1
-    counted = by_set.groupBy("rules").agg(
-        F.sum(F.when(one, F.col("rows"))).alias("rows_matched"), F.sum(F.when(several, F.col("rows"))).alias("rows_ambiguous"), F.count_if(one).alias("taxa_matched"), F.count_if(several).alias("taxa_ambiguous"),
-    )
-    every = rows.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("taxa")).withColumn("rules", F.explode(F.array(*[F.lit(k) for k in _TEN])))
-    out = every.join(counted, "rules", "left").na.fill(0)
-    out = out.withColumns({f"{x}_unmatched": F.col(x) - F.col(f"{x}_matched") - F.col(f"{x}_ambiguous") for x in ("rows", "taxa")})
-    together = Window.partitionBy(F.lit(1))  # ten rows
-    return out.select("rules", *_COUNTED, *[(F.col(c) - F.max(F.when(F.col("rules") == "exact", F.col(c))).over(together)).alias(f"{c}_delta") for c in _COUNTED])
-
-
-@query(s.with_("concept edges", "SELECT c.sec_reference, count(*) AS isolated FROM concept c WHERE c.backbone_id = 'cdm' AND c.id NOT IN (SELECT from_id FROM edges) AND c.id NOT IN (SELECT to_id FROM edges) GROUP BY 1"))
-def isolated_concepts(spark: SparkSession, sf: str) -> DataFrame:
-    e = ix.edges(spark, sf)
-    ends = e.select(F.col("from_id").alias("id")).unionByName(e.select(F.col("to_id").alias("id"))).distinct()
-    return ix.index(spark, sf).concept.where("backbone_id = 'cdm'").join(ends, "id", "left_anti").groupBy("sec_reference").agg(F.count(F.lit(1)).alias("isolated"))
-
-
-@query(s.with_("concept secs", "SELECT c.sec_reference, t.title, count(*) AS concepts FROM concept c LEFT JOIN secs t ON t.id = c.sec_reference WHERE c.backbone_id = 'cdm' GROUP BY ALL"))
-def concepts_per_sec(spark: SparkSession, sf: str) -> DataFrame:
-    c = ix.index(spark, sf).concept.where("backbone_id = 'cdm'").groupBy("sec_reference").agg(F.count(F.lit(1)).alias("concepts"))
-    return c.join(ix.secs(spark, sf).withColumnRenamed("id", "sec_reference"), "sec_reference", "left").select("sec_reference", "title", "concepts")
-
-
-@query(s.with_("concept_name name", "SELECT cn.role, n.rank, cn.homotypic, count(*) AS n, count(*) FILTER (coalesce(n.nom_status, '') <> '') AS with_status FROM concept_name cn JOIN name n ON n.id = cn.name_id GROUP BY ALL"))
-def synonym_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    asked = ix.name_rows(spark, sf).select(F.concat(F.lit("f:"), F.col("seq").cast("string")).alias("rid"), F.col("taxon").alias("verbatim"))
+    each = asked.join(ix.secs(spark, sf).select(F.col("id").alias("target_sec")), F.lit(True))
+    t = lk.translate_verbatim(i, ix.lookup(spark, sf), ix.edges(spark, sf), ix.secs(spark, sf), each)
+    return t.where("match_type not in ('fuzzy', 'unresolvable')").select("rid", "match_type", "id", "target_sec", "partner", "relation", "outgoing", "requires_review", "note")
+
+
+@query(s.with_("concept name lookup edges secs", f"""SELECT p.id, p.target_sec, count(DISTINCT b.candidate) AS n_candidates, count(DISTINCT b.candidate) > 0 AS requires_review,
+  CASE WHEN count(DISTINCT b.candidate) > 0 THEN {s.q(lk.NOTE_NO_RELATION + ' ' + lk.NOTE_NAMES)} ELSE {s.q(lk.NOTE_NO_RELATION)} END AS note FROM pairs p
+  ANTI JOIN (SELECT b.id, c.sec_reference FROM both_ways b JOIN concept c ON c.id = b.partner) k ON k.id = p.id AND k.sec_reference = p.target_sec
+  LEFT JOIN (SELECT c.id, l.sec_reference, l.concept_id AS candidate FROM concept c JOIN name n ON n.id = c.accepted_name AND n.canonical_fold <> '' JOIN lookup l ON l.canonical_fold = n.canonical_fold WHERE l.concept_id <> c.id) b ON b.id = p.id AND b.sec_reference = p.target_sec
+  GROUP BY p.id, p.target_sec""", _BOTH, _EVERY_PAIR))
+def translate_hints(spark: SparkSession, sf: str) -> DataFrame:
+    """Where no statement leads into a reference: how many of its concepts merely bear the same name, to be reviewed."""
     i = ix.index(spark, sf)
-    j = i.concept_name.join(i.name.select(F.col("id").alias("name_id"), "rank", "nom_status"), "name_id")
-    return j.groupBy("role", "rank", "homotypic").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("nom_status", F.lit("")) != "").alias("with_status"))
-
-
-@query(s.with_("concept name edges", """SELECT n.canonical_fold, count(DISTINCT c.id) AS concepts FROM concept c JOIN name n ON n.id = c.accepted_name WHERE n.canonical_fold IN (SELECT n2.canonical_fold FROM concept c2 JOIN name n2 ON n2.id = c2.accepted_name WHERE c2.id IN (SELECT from_id FROM edges UNION SELECT to_id FROM edges)) GROUP BY 1"""))
-def edge_reach(spark: SparkSession, sf: str) -> DataFrame:
-    """Folded names of concepts with an edge, and how many concepts of any backbone bear each as accepted name."""
-    i, e = ix.index(spark, sf), ix.edges(spark, sf)
-    folded = i.concept.join(i.name.select(F.col("id").alias("accepted_name"), "canonical_fold"), "accepted_name").select("id", "canonical_fold")
-    ends = e.select(F.col("from_id").alias("id")).unionByName(e.select(F.col("to_id").alias("id"))).distinct()
-    reached = folded.join(ends, "id", "left_semi").select("canonical_fold").distinct()
-    return folded.join(reached, "canonical_fold", "left_semi").groupBy("canonical_fold").agg(F.count_distinct("id").alias("concepts"))
-
-
-@query(s.with_("lookup trait_rows name_rows cdm", f"""SELECT (SELECT count(DISTINCT f) FROM open) AS unresolved, (SELECT count(DISTINCT f) FROM open WHERE f IN (SELECT f FROM l1)) AS by_name_list, (SELECT count(DISTINCT f) FROM open WHERE f IN (SELECT f FROM l2)) AS by_concepts,
-  (SELECT count(DISTINCT f) FROM open WHERE f IN (SELECT f FROM l1 UNION SELECT f FROM l2)) AS by_any, (SELECT count(DISTINCT f) FROM open WHERE f IN (SELECT f FROM l1) AND f NOT IN (SELECT f FROM l2)) AS by_name_list_only""",
-    f"l1 AS (SELECT DISTINCT {s.fold('taxon')} AS f FROM name_rows), l2 AS (SELECT DISTINCT {s.fold('canonical')} AS f FROM cdm WHERE canonical IS NOT NULL), open AS (SELECT DISTINCT {s.fold('taxon')} AS f FROM trait_rows WHERE {s.fold('taxon')} NOT IN (SELECT canonical_fold FROM lookup WHERE canonical_fold IS NOT NULL))"))
-def bridge(spark: SparkSession, sf: str) -> DataFrame:
-    """Trait names that the index does not know, and how many of them other lists do."""
-    fold = lambda df, c: df.select(n.canonicalize(c).alias("f")).where("f is not null").distinct()
-    known = g.lookup(ix.index(spark, sf)).select(F.col("canonical_fold").alias("f")).distinct()
-    open_ = fold(ix.traits_rows(spark, sf), "taxon").join(known, "f", "left_anti")
-    lists = fold(ix.name_rows(spark, sf), "taxon").withColumn("l", F.lit(1)).unionByName(fold(ix.concepts(spark, sf), "canonical").withColumn("l", F.lit(2)))
-    sources = lists.groupBy("f").agg(F.bit_or("l").alias("l"))
-    j = open_.join(sources, "f", "left")
-    bit = lambda k: F.col("l").bitwiseAND(k) != 0
-    return j.agg(F.count(F.lit(1)).alias("unresolved"), F.count_if(bit(1)).alias("by_name_list"), F.count_if(bit(2)).alias("by_concepts"), F.count_if(F.col("l").isNotNull()).alias("by_any"), F.count_if(F.col("l") == 1).alias("by_name_list_only"))
-
-
-@query(s.with_("lookup trait_rows name_rows", """SELECT step, count(*) AS unresolved, count(l.f) AS recovered, count(*) FILTER (CASE step WHEN 'exact' THEN l.acc IN (SELECT f FROM known) ELSE l.acc IN (SELECT canon FROM answered) END) AS bridgeable
-  FROM (SELECT 'exact' AS step, f FROM asked WHERE f NOT IN (SELECT f FROM known) UNION ALL SELECT 'ladder', f FROM asked WHERE f NOT IN (SELECT canon FROM answered)) o LEFT JOIN links l ON l.f = o.f GROUP BY 1""",
-    f"asked AS (SELECT DISTINCT {s.fold('taxon')} AS f FROM trait_rows), links AS (SELECT {s.fold('taxon')} AS f, arg_max({s.fold("coalesce(accepted_taxon, '')")}, seq) AS acc FROM name_rows GROUP BY 1), known AS (SELECT DISTINCT canonical_fold AS f FROM lookup WHERE canonical_fold <> '')",
-    "both_sides AS (SELECT f AS v FROM asked UNION SELECT acc FROM links)", s.ladder("both_sides", "v"), "answered AS (SELECT DISTINCT canon FROM rungs WHERE key IN (SELECT f FROM known))"))
-def bridge_links(spark: SparkSession, sf: str) -> DataFrame:
-    """Trait names that the index does not know, those that the name list has, and those whose accepted name there the index knows:
-    by equality, and by the ladder on both sides. Of several rows of a name the last one's link counts."""
-    known = g.lookup(ix.index(spark, sf)).where("canonical_fold <> ''").select(F.col("canonical_fold").alias("key")).distinct()
-    asked = ix.traits_rows(spark, sf).select(n.canonicalize("taxon").alias("f")).distinct()
-    acc = n.canonicalize(F.coalesce("accepted_taxon", F.lit("")))
-    links = ix.name_rows(spark, sf).groupBy(n.canonicalize("taxon").alias("f")).agg(F.max_by(acc, "seq").alias("acc"))
-    names = asked.unionByName(links.select(F.col("acc").alias("f"))).distinct()
-    rungs = names.select("f", F.explode(n.ladder("f")).alias("r")).select("f", "r.key", "r.rule").join(known, "key")
-    answered = cut(rungs.groupBy("f").agg(F.bool_or(F.col("rule") == "exact").alias("exact")))
-    j = asked.join(answered, "f", "left").join(links, "f", "left").join(answered.select(F.col("f").alias("acc"), F.col("exact").alias("acc_exact")), "acc", "left")
-    steps = F.array(F.struct(F.lit("exact").alias("step"), F.coalesce("exact", F.lit(False)).alias("known"), F.coalesce("acc_exact", F.lit(False)).alias("linked")), F.struct(F.lit("ladder").alias("step"), F.col("exact").isNotNull().alias("known"), F.col("acc_exact").isNotNull().alias("linked")))
-    o = j.select("acc", F.explode(steps).alias("x")).where("not x.known")
-    return o.groupBy("x.step").agg(F.count(F.lit(1)).alias("unresolved"), F.count("acc").alias("recovered"), F.count_if("x.linked").alias("bridgeable"))
-
-
-@query(s.with_("trait_keys trait_rows", f"""SELECT count(*) AS slots, count(*) FILTER (n > 1) AS contested, count(*) FILTER (a <> z) AS changed FROM (
-  SELECT w.concept_id, upper(trim(r.dim)) AS dim, count(*) AS n, arg_min(r.seq, {s.rule_rank('w.rule')} * 1000000000000 + r.seq) AS a, max(r.seq) AS z FROM trait_rows r JOIN walked w ON w.value = r.taxon AND w.outcome = 'matched' GROUP BY 1, 2)""", s.crosswalk("trait_rows", "taxon", "trait_keys")))
-def winner_policies(spark: SparkSession, sf: str) -> DataFrame:
-    """Slots of concept and dimension: contested ones, and those where the last row would win instead of the best rule."""
-    hit = ix.trait_crosswalk(spark, sf).where("outcome = 'matched'").select(F.col("value").alias("taxon"), "concept_id", "rule")
-    r = ix.traits_rows(spark, sf).join(hit, "taxon").withColumn("dim", v.parse_dimension("dim")).withColumn("rank", n.rule_rank("rule"))
-    slots = r.groupBy("concept_id", "dim").agg(F.count(F.lit(1)).alias("n"), F.min_by("seq", F.struct("rank", "seq")).alias("a"), F.max("seq").alias("z"))
-    return slots.agg(F.count(F.lit(1)).alias("slots"), F.count_if(F.col("n") > 1).alias("contested"), F.count_if(F.col("a") != F.col("z")).alias("changed"))
-
-
-@query("""WITH d AS (SELECT DISTINCT taxon FROM eive_sample WHERE taxon IS NOT NULL), r AS (SELECT taxon, row_number() OVER (ORDER BY taxon) - 1 AS i, count(*) OVER () AS n FROM d)
-SELECT taxon FROM r WHERE i % greatest(1, n // 20) = 0 AND i // greatest(1, n // 20) < 20""")
-def systematic_sample(spark: SparkSession, sf: str) -> DataFrame:
-    """Every k-th of the distinct names in order, twenty of them: positions come from counts of sorted ranges, not from one task."""
-    names = ix.table(spark, sf, "eive_sample").select("taxon").where("taxon is not null").distinct()
-    ranged = names.repartitionByRange("taxon").sortWithinPartitions("taxon").withColumn("m", F.monotonically_increasing_id())
-    ranged = cut(ranged)
-    part, inside = F.shiftright("m", 33), F.col("m").bitwiseAND((1 << 33) - 1)
-    sizes = {r["p"]: r["n"] for r in ranged.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    total, before, offset = sum(sizes.values()), 0, {}
-    for p in sorted(sizes):
-        offset[p], before = before, before + sizes[p]
-    step = max(1, total // 20)
-    if not offset:
-        return names
-    at = F.element_at(F.create_map(*[F.lit(x) for kv in offset.items() for x in kv]), part) + inside
-    return ranged.where((at % step == 0) & (F.floor(at / step) < 20)).select("taxon")
-
-
-@query("SELECT dim, list_sort(list(value))[1 + floor(0.5 * (count(*) - 1))::INTEGER] AS p50, list_sort(list(value))[1 + floor(0.95 * (count(*) - 1))::INTEGER] AS p95, min(value) AS least, max(value) AS greatest, count(niche_width) / count(*)::DOUBLE AS filled FROM eive_sample WHERE value IS NOT NULL GROUP BY dim")
-def value_quantiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Lower nearest-rank quantiles, ranges and fill rate of the measured values of each dimension."""
-    e = ix.table(spark, sf, "eive_sample").where("value is not null")
-    # percentile_disc would take the upper neighbour: the value at floor(p * (n - 1)) is the one whose rank is that plus 1.
-    counts = e.groupBy("dim", "value").agg(F.count(F.lit(1)).alias("n"), F.count("niche_width").alias("w"))
-    by = Window.partitionBy("dim").orderBy("value")
-    c = counts.withColumn("upto", F.sum("n").over(by)).withColumn("all", F.sum("n").over(Window.partitionBy("dim")))
-    at = lambda p: F.min(F.when(F.col("upto") > F.floor(F.lit(p) * (F.col("all") - 1)), F.col("value")))
-    return c.groupBy("dim").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), F.min("value").alias("least"), F.max("value").alias("greatest"), (F.sum("w") / F.sum("n")).alias("filled"))
+    asked = _into_every(spark, sf, i)
+    t = lk.translate(i, ix.edges(spark, sf), ix.secs(spark, sf), asked)
+    return lk.with_name_candidates(i, t).where("partner is null").select("id", "target_sec", F.size("name_candidates").cast("long").alias("n_candidates"), "requires_review", "note")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,21 +11,10 @@ from florilege.operators import ingest as g
 from florilege.operators import match as m
 from florilege.plans import index as ix
 from florilege.plans import sql as s
+from florilege.plans.registry import Registry
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(oracle: str | None = None) -> Callable:
-    """Register a query under its function's name, with its oracle."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLE[f.__name__] = oracle
-        return f
-
-    return add
+registry = Registry()
+query, QUERIES, ORACLE = registry.query, registry.queries, registry.oracles
 
 
 _TYPED = "typed AS (SELECT taxon AS x FROM eive_sample UNION SELECT taxon FROM floraveg_sample UNION SELECT accepted_taxon FROM floraveg_sample UNION SELECT scientfiicname FROM wcvp_taxon UNION SELECT scientific_name FROM cdm_concepts_fixture)"
@@ -119,38 +106,38 @@ def identifiers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(s.with_("name", "SELECT * FROM name"))
 def ingest_names(spark: SparkSession, sf: str) -> DataFrame:
-    return ix.index(spark, sf).name
+    return ix.built(spark, sf).name
 
 
 @query(s.with_("concept", "SELECT * FROM concept"))
 def ingest_concepts(spark: SparkSession, sf: str) -> DataFrame:
-    return ix.index(spark, sf).concept
+    return ix.built(spark, sf).concept
 
 
 @query(s.with_("concept_name", "SELECT * FROM concept_name"))
 def ingest_concept_names(spark: SparkSession, sf: str) -> DataFrame:
-    return ix.index(spark, sf).concept_name
+    return ix.built(spark, sf).concept_name
 
 
 @query(s.with_("distribution", "SELECT * FROM distribution"))
 def ingest_distribution(spark: SparkSession, sf: str) -> DataFrame:
-    return ix.index(spark, sf).distribution
+    return ix.built(spark, sf).distribution
 
 
 @query(s.with_("area", "SELECT * FROM area"))
 def ingest_areas(spark: SparkSession, sf: str) -> DataFrame:
-    return ix.index(spark, sf).area
+    return ix.built(spark, sf).area
 
 
 @query(s.with_("xref", "SELECT authority, ext_id, concept_id FROM xref"))
 def ingest_xrefs(spark: SparkSession, sf: str) -> DataFrame:
-    return ix.index(spark, sf).xref.drop("source")
+    return ix.built(spark, sf).xref.drop("source")
 
 
 @query(s.with_("linked", f"""SELECT count(*) AS names, count(*) FILTER (accepted) AS concepts, count(*) FILTER (NOT accepted AND target_accepted) AS synonyms, count(*) FILTER (NOT accepted AND NOT target_accepted) AS orphaned, count(*) FILTER ({s.rank('rank')} = 'OTHER') AS other_ranks,
   {', '.join(f"count(*) FILTER (NOT accepted AND {s.nom_judgement('nom_status')} = '{j}') AS nom_{j}" for j in ('absent', 'acceptable', 'disqualifying', 'unclassified'))} FROM linked"""))
 def ingest_report(spark: SparkSession, sf: str) -> DataFrame:
-    return g.backbone_report(ix.taxa(spark, sf))
+    return g.backbone_report(ix.linked(spark, sf))
 
 
 @query(s.with_("linked", f"SELECT {s.rank_verbatim('rank')} AS verbatim, count(*) AS n FROM linked WHERE {s.rank('rank')} = 'OTHER' GROUP BY 1 ORDER BY n DESC, verbatim LIMIT 20"))
@@ -165,7 +152,7 @@ def distribution_closure(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(s.with_("trait_keys trait_rows", "SELECT value, canon, rule, concept_id, outcome FROM walked", s.crosswalk("trait_rows", "taxon", "trait_keys")))
 def trait_crosswalk(spark: SparkSession, sf: str) -> DataFrame:
-    return ix.trait_crosswalk(spark, sf)
+    return ix.trait_crosswalk.build(spark, sf)
 
 
 _WON = f"""won AS (SELECT w.concept_id, upper(trim(r.dim)) AS dim, r.vocab, r.vocab_version, r.value, r.niche_width, r.n_systems::DOUBLE AS n_systems, CASE WHEN w.rule <> 'exact' THEN w.rule END AS resolution,
@@ -174,7 +161,7 @@ _WON = f"""won AS (SELECT w.concept_id, upper(trim(r.dim)) AS dim, r.vocab, r.vo
 
 @query(s.with_("trait_keys trait_rows", "SELECT * EXCLUDE (k) FROM won WHERE k = 1", s.crosswalk("trait_rows", "taxon", "trait_keys"), _WON))
 def ingest_traits(spark: SparkSession, sf: str) -> DataFrame:
-    return ix.trait_values(spark, sf).withColumn("n_systems", F.col("n_systems").cast("double"))
+    return ix.trait_values.build(spark, sf).withColumn("n_systems", F.col("n_systems").cast("double"))
 
 
 @query(s.with_("trait_keys trait_rows", "SELECT w.outcome, w.rule, count(*) AS n_rows, count(DISTINCT r.taxon) AS n_taxa FROM trait_rows r JOIN walked w ON w.value = r.taxon GROUP BY ALL", s.crosswalk("trait_rows", "taxon", "trait_keys")))
@@ -193,7 +180,7 @@ _ENTRIES = f"""entries AS (SELECT * EXCLUDE (k) FROM (SELECT 'floraveg' AS space
 
 @query(s.with_("lookup name_rows", "SELECT * FROM entries", s.crosswalk("name_rows", "taxon", "lookup"), _ENTRIES))
 def ingest_name_space(spark: SparkSession, sf: str) -> DataFrame:
-    return ix.space_entries(spark, sf)
+    return ix.space_entries.build(spark, sf)
 
 
 _XROWS = """xrows AS (SELECT 'powo' AS join_authority, powo AS join_id, 'ipni' AS authority, 'urn:' || powo AS ext_id FROM taxa WHERE powo <> ''
@@ -222,7 +209,7 @@ def relation_outcomes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(s.with_("edges", "SELECT * FROM edges"))
 def ingest_relations(spark: SparkSession, sf: str) -> DataFrame:
-    return ix.edges(spark, sf)
+    return ix.edges.build(spark, sf)
 
 
 # --- resolution ---------------------------------------------------------------------------------------------------------
@@ -264,7 +251,7 @@ decided AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY
 @query(s.with_("verbatim lookup", """SELECT r.id, d.match_type, d.concept_id, array_to_string(d.candidates, '|') AS candidates FROM req r JOIN decided d ON d.id = r.id""", _match_sql()))
 def match_exact(spark: SparkSession, sf: str) -> DataFrame:
     """The requests that the exact steps decide."""
-    res = m.match(ix.verbatim(spark, sf), g.lookup(ix.index(spark, sf)))
+    res = m.match(ix.verbatim(spark, sf), ix.lookup(spark, sf))
     exact = res.where("match_type <> 'fuzzy' and (match_type <> 'unresolvable' or note in ({}))".format(", ".join(f"'{x}'" for x in (m.NOTE_AMBIGUOUS,))) + f" or (note = '{m.NOTE_UNRESOLVABLE}' and size(candidates) > 0)")
     return exact.select("id", "match_type", "concept_id", F.array_join("candidates", "|").alias("candidates"))
 
@@ -283,7 +270,7 @@ top AS (SELECT *, max(score) OVER (PARTITION BY id) AS best FROM scored WHERE sc
   CASE WHEN max(best) >= 0.85 AND count(DISTINCT concept_id) FILTER (score = best) = 1 THEN min(concept_id) FILTER (score = best) END AS concept_id, count(DISTINCT canonical) AS n_shown FROM top GROUP BY id""", _match_sql(), _FUZZY))
 def match_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
     """The requests that go through the fuzzy step and find a candidate worth showing."""
-    lookup = g.lookup(ix.index(spark, sf))
+    lookup = ix.lookup(spark, sf)
     rows = ix.verbatim(spark, sf).where("verbatim is not null")
     done = match_exact(spark, sf).select("id")
     open_ = m.requests(rows).join(done, "id", "left_anti").select("id", "canon")
@@ -300,4 +287,4 @@ def match_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
 def match_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Every request with its result, in the spelling of the name space."""
     rows = ix.verbatim(spark, sf)
-    return m.in_space(m.match(rows, g.lookup(ix.index(spark, sf))), rows, ix.space_entries(spark, sf), "floraveg")
+    return m.in_space(m.match(rows, ix.lookup(spark, sf)), rows, ix.space_entries(spark, sf), "floraveg")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from florilege.functions import names as n
 from florilege.functions import vocabulary as v
 
@@ -103,8 +105,13 @@ l6 AS (SELECT *, row_number() OVER (PARTITION BY canon, key ORDER BY o) AS again
 rungs AS (SELECT canon, (row_number() OVER (PARTITION BY canon ORDER BY o) - 1)::INTEGER AS ord, key, rule FROM l6 WHERE again = 1)"""
 
 
-def crosswalk(source: str, value: str, keys: str) -> str:
-    """Sub-queries up to `walked` (value, canon, rule, concept_id, outcome)."""
+def crosswalk(source: str, value: str, keys: str, suffix: str = "") -> str:
+    """Sub-queries up to `walked` (value, canon, rule, concept_id, outcome); a suffix tells a second crosswalk apart."""
+    made = _crosswalk(source, value, keys)
+    return re.sub(r"\b(canons|l[0-6]|rungs|targets|hits|walked)\b", rf"\g<1>{suffix}", made) if suffix else made
+
+
+def _crosswalk(source: str, value: str, keys: str) -> str:
     return f"""{ladder(source, value)},
 targets AS (SELECT canonical_fold, count(DISTINCT concept_id) AS n, min(concept_id) AS concept_id FROM {keys} GROUP BY 1),
 hits AS (SELECT r.canon, r.rule, t.n, t.concept_id, row_number() OVER (PARTITION BY r.canon ORDER BY r.ord) AS k FROM rungs r JOIN targets t ON t.canonical_fold = r.key),
@@ -159,6 +166,20 @@ def nom_judgement(x: str) -> str:
     return f"CASE WHEN {text} = '' THEN 'absent' WHEN contains({text}, '?') THEN 'unclassified' WHEN {bad} THEN 'disqualifying' WHEN {' OR '.join(guarded_parts)} THEN 'unclassified' WHEN {good} THEN 'acceptable' ELSE 'unclassified' END"
 
 
+def nom_matched(x: str) -> str:
+    """The list of tokens that were found, in the order of the rules."""
+    now, found = nom_text(x), [f"CASE WHEN contains({nom_text(x)}, '?') THEN '?' END"]
+    for guard in v.GUARDS:
+        found.append(f"CASE WHEN contains({now}, {q(guard)}) THEN {q(guard)} END")
+        now = f"replace({now}, {q(guard)}, ' ')"
+    found += [f"CASE WHEN contains({now}, {q(f)}) THEN {q(f)} END" for f in (*v.DISQUALIFYING, *v.ACCEPTABLE)]
+    return f"list_filter([{', '.join(found)}], lambda x: x IS NOT NULL)"
+
+
+def quoted(x: str) -> str:
+    return f"""'"' || replace(replace({x}, '\\', '\\\\'), '"', '\\"') || '"'"""
+
+
 #: Named sub-queries in the order in which they may use each other.
 CTES: dict[str, str] = {
     "taxa": """SELECT * FROM (
@@ -177,7 +198,7 @@ CTES: dict[str, str] = {
   UNION ALL SELECT 'list:name:' || ref_id, name, {fold('name')}, coalesce(authorship, ''), {rank('rank')}, {rank_verbatim('rank')}, NULL, NULL, '', NULL FROM taxon_list
   UNION ALL SELECT 'cdm:name:' || uuid, canonical, {fold('canonical')}, authorship, {rank('rank')}, {rank_verbatim('rank')}, NULL, NULL, NULL, NULL FROM cdm""",
     "concept": f"""SELECT 'wcvp:concept:' || taxonid AS id, 'wcvp' AS backbone_id, 'wcvp:name:' || taxonid AS accepted_name, {rank('rank')} AS rank, {rank_verbatim('rank')} AS rank_verbatim, {status('status')} AS status,
-    CASE WHEN parent_accepted THEN 'wcvp:concept:' || parent_id END AS parent_id, NULL AS sec_reference FROM linked WHERE accepted
+    CASE WHEN parent_accepted THEN 'wcvp:concept:' || parent_id END AS parent_id, NULL::VARCHAR AS sec_reference FROM linked WHERE accepted
   UNION ALL SELECT 'list:concept:' || ref_id, 'list', 'list:name:' || ref_id, {rank('rank')}, {rank_verbatim('rank')}, 'ACCEPTED', NULL, NULL FROM taxon_list
   UNION ALL SELECT 'cdm:concept:' || c.uuid, 'cdm', 'cdm:name:' || c.uuid, {rank('c.rank')}, {rank_verbatim('c.rank')}, {status('c.status')}, 'cdm:concept:' || p.uuid, c.sec FROM cdm c LEFT JOIN cdm p ON p.uuid = c.parent""",
     "concept_name": """SELECT 'wcvp:concept:' || taxonid AS concept_id, 'wcvp:name:' || taxonid AS name_id, 'accepted' AS role, NULL::BOOLEAN AS homotypic FROM linked WHERE accepted
@@ -195,7 +216,7 @@ CTES: dict[str, str] = {
     "trait_rows": "SELECT taxon, lower(trim(vocab)) AS vocab, vocab_version, dim, value, niche_width, n_systems, row_seq AS seq FROM eive_sample WHERE taxon IS NOT NULL AND value IS NOT NULL",
     "name_rows": "SELECT trim(taxon) AS taxon, trim(rank) AS rank, trim(status) AS status, trim(accepted_taxon) AS accepted_taxon, trim(source_id) AS source_id, row_seq AS seq FROM floraveg_sample WHERE trim(taxon) <> '' AND trim(source_id) <> ''",
     "trait_keys": "SELECT canonical_fold, concept_id FROM lookup WHERE backbone_id <> 'cdm'",
-    "verbatim": "SELECT 'f:' || seq AS id, taxon AS verbatim FROM name_rows UNION ALL SELECT 'c:' || uuid, canonical || CASE WHEN authorship <> '' THEN ' ' || authorship ELSE '' END FROM cdm",
+    "verbatim": "SELECT 'e:' || row_seq AS id, taxon AS verbatim FROM eive_sample WHERE taxon IS NOT NULL UNION ALL SELECT 'f:' || seq, taxon FROM name_rows UNION ALL SELECT 'c:' || uuid, canonical || CASE WHEN authorship <> '' THEN ' ' || authorship ELSE '' END FROM cdm",
     "closure": """SELECT concept_id, area_scheme, area_code, 'own' AS origin FROM distribution
   UNION ALL SELECT DISTINCT c.id, d.area_scheme, d.area_code, 'name' FROM concept c JOIN name an ON an.id = c.accepted_name AND an.canonical_fold <> '' JOIN name wn ON wn.canonical_fold = an.canonical_fold JOIN concept_name wc ON wc.name_id = wn.id
   JOIN concept w ON w.id = wc.concept_id AND w.backbone_id = 'wcvp' JOIN distribution d ON d.concept_id = w.id WHERE NOT EXISTS (SELECT 1 FROM distribution o WHERE o.concept_id = c.id)""",

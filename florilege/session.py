@@ -1,4 +1,4 @@
-"""Session defaults and the shared folder for cut lineage."""
+"""Session defaults and the shared folder for cut lineage and stored tables."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -27,27 +28,51 @@ def build(master: str = "local[*]", shuffle_partitions: int = 8, **extra: str) -
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Take the cluster's spark.checkpoint.dir; only a local master gets a temporary folder of its own.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir; only a local master gets a temporary folder of its own.
 
     On a cluster without the setting this raises ValueError: a machine-local folder would be lost with its executor.
     """
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
     configured = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
     if configured:
-        context.setCheckpointDir(configured)
-    elif context.master.startswith("local[") or context.master == "local":
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="florilege-"))
-    else:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        return configured
+    made = getattr(context, "_florilege_folder", None)
+    if made is None:
+        if not (context.master.startswith("local[") or context.master == "local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        made = context._florilege_folder = tempfile.mkdtemp(prefix="florilege-")
+    return made
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Checkpoints go to the shared folder, unless the session has been given one already."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute df once, write it to the shared folder and continue from the written copy."""
+def cut(df: DataFrame, *replaced: DataFrame) -> DataFrame:
+    """Compute df once, write it to the shared folder and continue from the written copy.
+
+    replaced: earlier copies of which nothing but df was still to be made; their files are deleted once df is written, so
+    that a loop keeps one round on disk.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    copy = df.checkpoint(eager=True)
+    for old in replaced:
+        release(old)
+    return copy
+
+
+def release(copy: DataFrame) -> None:
+    """Delete the files of a frame that `cut` returned; nothing may be computed from it afterwards."""
+    plan = copy._jdf.queryExecution().logical()
+    if plan.getClass().getSimpleName() != "LogicalRDD":
+        return
+    file = plan.rdd().getCheckpointFile()
+    if file.isDefined():
+        path = copy.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(copy.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:

@@ -11,7 +11,7 @@ def test_every_statement_comes_out(spark, small):
     concepts = ix.index(spark, small).concept.where("backbone_id = 'cdm'").select("id", "sec_reference").collect()
     sec = {r["id"]: r["sec_reference"] for r in concepts}
     want = sorted((r["id"], sec[r["partner"]], r["partner"], r["relation"], r["outgoing"]) for r in lk.both_ways(ix.edges(spark, small)).collect() if r["id"] in sec and sec.get(r["partner"]))
-    rows = entry.queries()["translate_everywhere"](spark, small).collect()
+    rows = entry.queries()["translate_all"](spark, small).collect()
     assert sorted((r["id"], r["target_sec"], r["partner"], r["relation"], r["outgoing"]) for r in rows if r["partner"]) == want
     assert len({r["target_sec"] for r in rows if r["partner"]}) > 1
     secs = {r["id"] for r in ix.secs(spark, small).collect()}
@@ -25,5 +25,5 @@ def test_names_are_asked_into_every_reference(spark, small):
     bears = {(r["concept_id"], fold[r["name_id"]]) for r in i.concept_name.collect() if r["concept_id"] in concepts}
     secs = {r["id"] for r in ix.secs(spark, small).collect()}
     want = {(a, concepts[c]["sec_reference"], c) for a in concepts for c, f in bears if c != a and f and f == fold[concepts[a]["accepted_name"]] and concepts[c]["sec_reference"] in secs}
-    got = {(r["id"], r["target_sec"], r["candidate"]) for r in entry.queries()["translate_by_name_everywhere"](spark, small).collect()}
+    got = {(r["id"], r["target_sec"], r["candidate"]) for r in entry.queries()["translate_by_name"](spark, small).collect()}
     assert got == want and len({t for _, t, _ in want}) > 1
