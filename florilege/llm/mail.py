@@ -11,15 +11,13 @@ import html
 import quopri
 import re
 
-#: How the original message of a reply is announced, and the words of an attribution line.
-_ORIGINAL = re.compile(r"^\W{0,3}-{2,}\s*(?:Original Message|Forwarded message|Urspr\S+ngliche Nachricht|Weitergeleitete Nachricht|Message d.origine|Message transf\S+)\s*-{2,}", re.I)
-_ATTRIBUTION = re.compile(r"\b(?:wrote|writes|schrieb|schreibt|a écrit|écrit)\b", re.I)
+#: A line of dashes with words between them: a message is attached below it as text.
+_ORIGINAL = re.compile(r"^-{2,}\s*[^\W\d_][^-\n]{4,60}?\s*-{2,}(?=\s|$)")
 _QUOTED = re.compile(r"^\s{0,3}(?:>|\|(?=\s|$|\|)|:(?=\s|$|:))")
 _SIGNATURE = re.compile(r"^\s*(?:--\s?|—|_{5,}|\*(?:\s?\*){2,}|-{5,}|={5,}|~{3,})\s*$")
-#: How a sender takes leave.
-_CLOSING = re.compile(r"^(?:best(?: wishes| regards)?|(?:kind |many |warm )?regards|cheers|many thanks|thanks(?: a lot)?|sincerely|yours|viele gr.{1,3}(?:ß|ss|Ã).{0,2}e|beste gr.{1,3}(?:ß|ss|Ã).{0,2}e|(?:mit )?(?:freundlichen |herzlichen )?gr.{1,3}(?:ß|ss|Ã).{0,2}(?:e|en)?|danke(?: und bis bald)?|vielen dank|mfg|cordialement|bien . vous|merci(?: beaucoup)?|amicalement|salutations)\b[\s,.!]*(?:\S+\s*){0,3}$", re.I)
-#: How the notices begin that mail systems add.
-_NOTICE = re.compile(r"^(?:confidentiality notice|this (?:e-?mail|message) and any attach|the views in this mail|please think of the|please consider the environ|eine rechtsverbindliche erkl|bitte nicht drucken|diese nachricht (?:enth|ist)|merci de ne pas imprimer|ce message et ses pi|sent from my|gesendet von meinem|envoy. de mon)", re.I)
+#: The lines of a leave-taking and a name: short, and no sentences.
+_SHORT, _FEW = 45, 3
+_ENDS = (".", "!", "?", ":", ";", ")", '"', "…")
 _PARAGRAPH = re.compile(r"<\s*(?:/\s*p|br|/\s*div|/\s*li|/\s*tr|/\s*h[1-6])\b[^>]*>", re.I)
 _HIDDEN = re.compile(r"<(style|script|head|title)\b.*?(?:</\1\s*>|\Z)", re.I | re.S)
 _TAG = re.compile(r"<[^<>]*>|<[^<>]*\Z")
@@ -140,91 +138,127 @@ def _try_utf8(s: str) -> str:
         return s
 
 
+#: The widest line that still counts as one; what is longer was not broken by its sender and is shown as several.
+LINE = 132
+
+
 def own_text(message: str | None) -> list[str]:
-    """The paragraphs that the sender wrote, without greeting and closing."""
+    """The paragraphs that the sender wrote, without greeting, leave-taking and signature."""
+    return [" ".join(lines) for lines in own_lines(message)]
+
+
+def lines_of(paragraphs: list[list[str]]) -> int:
+    """How many lines the paragraphs of `own_lines` fill."""
+    return sum(-(-len(line) // LINE) for lines in paragraphs for line in lines)
+
+
+def own_lines(message: str | None) -> list[list[str]]:
+    """`own_text` as the lines of each paragraph."""
     if not message:
         return []
     body, is_html = body_text(message.replace("\r\n", "\n"))
     if is_html:
-        return _own_html(_repaired(_plain(body)))
-    return _own_plain(_repaired(body))
+        blocks = [" ".join(x.split()) for x in re.split(r"\n\s*\n", _repaired(_plain(body)))]
+        return _own([[x] for x in blocks if x], flat=True)
+    return _own(_blocks(_repaired(body)), flat=False)
 
 
-def _own_plain(text: str) -> list[str]:
-    paragraphs: list[str] = []
-    current: list[str] = []
+def _blocks(text: str) -> list[list[str]]:
+    """Stretches of lines between blank ones; an empty stretch stands for two blank lines or more."""
+    blocks: list[list[str]] = [[]]
     blanks = 0
-    original = signature = False
-
-    def flush() -> None:
-        if current:
-            _add(paragraphs, current)
-            current.clear()
-
     for line in text.split("\n"):
-        bare = line.strip()
-        if not bare:
-            flush()
-            signature = False
-            blanks += 1
-            # An original message above the sender's text ends with two blank lines.
-            if original and blanks >= 2:
-                original = False
-            continue
-        if original:
+        if line.strip():
+            if blanks:
+                blocks += [[], []] if blanks > 1 else [[]]
+            blocks[-1].append(line)
             blanks = 0
+        else:
+            blanks += 1
+    return blocks if blocks[0] else blocks[1:]
+
+
+def _own(blocks: list[list[str]], flat: bool) -> list[list[str]]:
+    """The sender's paragraphs. flat: each block is one line, as HTML leaves it."""
+    out: list[list[str]] = []
+    stretch: list[list[str]] = []  # paragraphs since the last quotation
+    attached = _attached(blocks, flat)
+    for k, block in enumerate(blocks):
+        if attached and attached[0] <= k < attached[1]:
+            out += _written(stretch, out)
+            stretch = []
             continue
-        blanks = 0
-        if _ORIGINAL.match(bare):
-            flush()
-            original = True
-        elif _QUOTED.match(line):
-            flush()
-            signature = False
-        elif _SIGNATURE.match(line):
-            _add(paragraphs, current)
-            current.clear()
-            signature = True
-        elif not signature:
-            current.append(bare)
-    flush()
-    return paragraphs
-
-
-def _add(paragraphs: list[str], lines: list[str]) -> None:
-    if not lines:
-        return
-    for k, line in enumerate(lines):
-        if len(line) < 60 and _CLOSING.match(line) and len(lines) - k <= 3:
-            lines = lines[:k]
-            break
+        own: list[str] = []
+        signed = False
+        for line in block:
+            if _QUOTED.match(line):
+                if own:
+                    stretch.append(own)
+                # What leads to a quotation (who wrote when) is not the sender's own either.
+                if stretch and stretch[-1][-1].endswith(":") and sum(map(len, stretch[-1])) < 250:
+                    stretch.pop()
+                out += _written(stretch, out)
+                stretch, own, signed = [], [], False
+            elif _SIGNATURE.match(line):
+                signed = True
+            elif not signed:
+                own.append(line.strip())
+        if flat and own and (m := re.search(r"\s(?:--|_{5,}|\*(?:\s?\*){2,})\s", own[0])) and len(own[0]) < 250:
+            own = [own[0][: m.start()]]
+        if own:
+            stretch.append(own)
+    return out + _written(stretch, out)
+
+
+def _written(stretch: list[list[str]], before: list[list[str]]) -> list[list[str]]:
+    """The paragraphs of one stretch without greeting, contact lines and leave-takings; nothing of it stands behind the last one."""
+    out: list[list[str]] = []
+    for p in stretch:
+        if not _is_contact(p) and not (not before and not out and _is_greeting(p)):
+            out.append(p)
+    cuts = [_leave(p, k > 0 or bool(before)) for k, p in enumerate(out)]
+    last = max((k for k, c in enumerate(cuts) if c < len(out[k])), default=len(out))
+    return [p[:c] for p, c in zip(out[: last + 1], cuts) if c]
+
+
+def _attached(blocks: list[list[str]], flat: bool) -> tuple[int, int] | None:
+    """The blocks from an attached message's line of dashes on; up to the end unless the message begins with it.
+
+    Above the sender's text the attached one ends with two blank lines or, without any, with the last quotation inside it;
+    where there is neither, as in HTML, nothing tells the two apart and no text is the sender's.
+    """
+    first = next((k for k, b in enumerate(blocks) if any(_ORIGINAL.match(x.strip()) for x in b)), None)
+    if first is None:
+        return None
+    if any(b and not any(_ORIGINAL.match(x.strip()) or _QUOTED.match(x) for x in b) for b in blocks[:first]):
+        return first, len(blocks)
+    gap = next((k for k in range(first + 1, len(blocks)) if not blocks[k]), None)
+    if gap is None:
+        quoted = [k for k in range(first, len(blocks)) if any(_QUOTED.match(x) for x in blocks[k])]
+        gap = quoted[-1] + 1 if quoted else None
+    return (first, len(blocks) if gap is None else gap)
+
+
+def _leave(lines: list[str], later: bool) -> int:
+    """The number of lines before a leave-taking at the end of a paragraph: all of them if there is none.
+
+    It is up to three short lines that are no sentences: the whole of a later paragraph, or the end of one behind a line
+    that ends a sentence.
+    """
+    k = len(lines)
+    while k and len(lines) - k < _FEW and len(lines[k - 1]) < _SHORT and not lines[k - 1].endswith(_ENDS):
+        k -= 1
+    if (k and not lines[k - 1].endswith((".", "!", "?"))) or (not k and not later):
+        return len(lines)
+    return k
+
+
+def _is_greeting(lines: list[str]) -> bool:
     text = " ".join(lines)
-    if not text or _NOTICE.match(text):
-        return
-    if text.endswith(":") and len(text) < 250 and _ATTRIBUTION.search(text):
-        return
-    if text.endswith((",", "!")) and len(text) < 45 and len(text.split()) <= 4 and not paragraphs:
-        return
-    # A telephone number, an address or the like, left on a line of its own.
-    if len(text.split()) <= 5 and not text.endswith((".", "!", "?")) and any(c.isdigit() or c == "@" for c in text):
-        return
-    paragraphs.append(text)
-
-
-def _own_html(text: str) -> list[str]:
-    """As for plain text, where each paragraph has become one line and quotation marks stand inside it."""
-    paragraphs: list[str] = []
-    for block in re.split(r"\n\s*\n", text):
-        line = " ".join(block.split())
-        if not line:
-            continue
-        if _ORIGINAL.match(line):
-            # The original follows to the end; its own text may come first.
-            break
-        if _QUOTED.match(line):
-            continue
-        m = re.search(r"\s(?:--|_{5,}|\*(?:\s?\*){2,})\s", line)
-        if m and len(line) < 250:
-            line = line[: m.start()]
-        _add(paragraphs, [line])
-    return paragraphs
+    return len(lines) == 1 and text.endswith((",", "!")) and len(text) < _SHORT and len(text.split()) <= 4
+
+
+def _is_contact(lines: list[str]) -> bool:
+    """A telephone number, an address or the like, left on a line of its own."""
+    text = " ".join(lines)
+    return len(text.split()) <= 5 and not text.endswith((".", "!", "?")) and any(c.isdigit() or c == "@" for c in text)

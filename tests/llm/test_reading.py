@@ -13,7 +13,7 @@ HEAD = "From: a@b.example\nSubject: x\nContent-Type: text/plain; charset=utf-8\n
 B64 = base64.b64encode((OWN + "\n").encode()).decode()
 MAILS = [
     f"{HEAD}\n{OWN}\n", f"{HEAD}\nHello all,\n\n{OWN}\n\nBest wishes\nAnn\n-- \nAnn Example\nPhone: 5\n", f"{HEAD}\nOn Monday Bob wrote:\n\n{QUOTE}\n{OWN}\n", f"{HEAD}\n{OWN}\n\n-----Original Message-----\nFrom: Bob\nSubject: x\n\nThe classification.\n",
-    f"{HEAD}\n-----Original Message-----\nFrom: Bob\n\nThe classification.\n\nMore.\n\n\n{OWN}\n", f"{HEAD}\n{OWN}\n\nCONFIDENTIALITY NOTICE: nothing is liable.\n", f"{HEAD}Content-Transfer-Encoding: base64\n\n{B64}\n",
+    f"{HEAD}\n-----Original Message-----\nFrom: Bob\n\nThe classification.\n\nMore.\n\n\n{OWN}\n", f"{HEAD}Content-Transfer-Encoding: base64\n\n{B64}\n",
     f"From: a\nContent-Type: multipart/alternative;\n boundary=\"q\"\n\n--q\nContent-Type: text/plain\n\n{OWN}\n--q\nContent-Type: text/html\n\n<p>no</p>\n--q--\n",
     f"From: a\nContent-Type: text/html\n\n<html><head><style>p{{}}</style></head><body><p>{OWN}</p>\n<p>&gt; quoted words</p></body></html>\n",
     f"From: a\nContent-Type: multipart/mixed; boundary=q\n\n--q\nContent-Type: application/pdf\nContent-Transfer-Encoding: base64\n\nAAAA\n--q\nContent-Type: text/plain\n\n{OWN}\n",
@@ -25,6 +25,44 @@ def test_own_text(text):
     assert " ".join(mail.own_text(text)).split() == OWN.split()
 
 
+NOTICE = "NOTA BENE: nothing in this message is binding, and whoever got it by mistake is asked to say so."
+#: A quotation that holds an attached message's line; an attached one that ends with a quotation; a greeting below a quotation;
+#: a heading before the text; an announcement in words of no list.
+CHAINS = [
+    f"{HEAD}\nBob wrote:\n\n> Yes.\n>\n> -----Original Message-----\n> From: Ann\n>\n> More.\n\n{OWN}\n\nCheers\nAnn\n", f"{HEAD}\n-----Ursprüngliche Nachricht-----\nVon: Bob\n\nDie Karte.\n\n>> Das Blatt.\n>> Die Tafel.\n\n{OWN}\n",
+    f"{HEAD}\nAm 1.2. schrieb Bob:\n\n| Die Karte.\n\nHallo Ann,\n\n{OWN}\n", f"{HEAD}\nGreetings all,\n\n{OWN}\n\nHasta luego\nAnn\n", f"{HEAD}\n{OWN}\n\n--- Oorspronkelijk bericht ---\nVan: Bob\n\nHet blad.\n",
+]
+
+
+@pytest.mark.parametrize("text", CHAINS)
+def test_chains(text):
+    assert " ".join(mail.own_text(text)).split() == OWN.split()
+
+
+def documents(spark, texts):
+    return spark.createDataFrame([(i, None if i % 3 else "s", f"{HEAD}\n{t}\n", 1.0) for i, t in enumerate(texts)], "doc_id long, source string, text string, x double")
+
+
+def test_one_line_messages_have_no_level(spark):
+    two = "We saw the old map on the shelf\nand we read it."
+    one = "We saw the old map on the shelf by the door and then we read it in the sun."
+    assert len(two.split()) == 12 and len(one.split()) >= 18
+    got = {r["doc_id"]: r["x"] for r in reading.features(documents(spark, [two, one, "", "Yes."])).collect()}
+    assert got[0] is not None and got[1] is None and got[2] is None and got[3] is None
+
+
+def test_repeated_notices_are_not_the_senders(spark):
+    words = [f"The {a} kept the {b} seed, and we\nsaw it." for a in ("red", "old", "dry", "wet") for b in ("long", "short", "good")]
+    want = {i: reading.measure([w.replace("\n", " ")]) for i, w in enumerate(words)}
+    df = documents(spark, [f"{w}\n\n{NOTICE}" for w in words])
+    for most in (reading.MOST_NOTICES, 0):  # broadcast, and joined
+        got = {r["doc_id"]: r["x"] for r in reading.features(df, most).collect()}
+        assert got.keys() == want.keys()
+        assert all(np.allclose(got[i], want[i], atol=1e-4) for i in want)
+    few = reading.features(df.limit(4)).collect()
+    assert all(r["n_words"] > len(words[0].split()) for r in few)
+
+
 @pytest.mark.parametrize("text", [None, "", "\n\n", "no header at all", "Content-Type: multipart/mixed\n\nx", "Content-Type: multipart/mixed; boundary=\"\"\n\nx", "Content-Transfer-Encoding: base64\n\n!!!", "a: b\n\n" + "<" * 100_000, "a: b\n\n" + "x" * 1_000_000, "a: b\n\n" + "> " * 200_000])
 def test_odd_messages(text):
     out = mail.own_text(text)
@@ -77,6 +115,18 @@ def test_grades(spark):
     assert len(reading.training_rows(measured, l, most_labels=7)) == 7
 
 
+def test_validation_knows_nothing_of_the_held_out_sources(spark, monkeypatch):
+    docs, labels = corpus(80)
+    d = spark.createDataFrame(docs, "doc_id long, source string, text string, level string")
+    rows = reading.training_rows(reading.features(d), spark.createDataFrame(labels, "doc_id long, level int"))
+    seen, fit = [], Boosted.fit
+    monkeypatch.setattr(reading, "cross_validate", lambda rows, settings: seen.append(set(rows["source"].fillna(""))) or np.linspace(1, 5, len(rows)))
+    grades = reading.validate(rows, Settings(trees=5))
+    assert len(grades) == len(rows) and Boosted.fit is fit
+    part, sources = reading.fold_of(rows["source"]), rows["source"].fillna("")
+    assert seen == [set(sources[part != k]) for k in np.unique(part)]
+
+
 def test_no_labels_and_no_documents(spark):
     d = spark.createDataFrame(corpus(10)[0], "doc_id long, source string, text string, level string")
     none = spark.createDataFrame([], "doc_id long, level int")
