@@ -5,8 +5,13 @@ taxon are folded away, authors, notes and qualifiers of sense are cut off, and t
 readings are looked up in a BK-tree over the list's folded names; the triangle inequality prunes subtrees and every entry
 within the threshold comes back. `choose` then takes the one entry the value stands for, or none.
 
-A list of up to `broadcast_entries` entries is one broadcast tree; a longer one is cut into shards by entry, a tree each,
-every value is looked up in every shard and the shards' winners are merged.
+A value is first asked for with radius 0; the names that have no entry at all there are asked for with the whole threshold.
+That gives the same winners as asking all of them with the threshold, as any entry that is written the same way goes before
+all others.
+
+A list of up to `broadcast_entries` entries is one broadcast tree; a longer one is cut into shards by entry. Each task then
+builds the tree of one shard, once, and streams its share of the values through it; every value is looked up in every shard
+and the shards' winners are merged.
 """
 
 from __future__ import annotations
@@ -25,8 +30,6 @@ from pyspark.sql import types as T
 
 #: Entries of one tree: a list of up to this many is broadcast (some 10 MB), a longer one is cut into shards of this size.
 BROADCAST_ENTRIES = 50_000
-#: Values that one task of the sharded form looks up.
-BLOCK_VALUES = 100_000
 #: Every entry within this Levenshtein distance of a reading is a candidate.
 THRESHOLD = 3
 #: Values are looked up in batches of this many, so that the distances of one tree level are one numpy call.
@@ -34,8 +37,7 @@ BATCH = 512
 
 #: Words that mark a rank below species, by the rank they stand for.
 RANK_WORDS = {"subsp": "subsp", "ssp": "subsp", "subspecies": "subsp", "var": "var", "v": "var", "variety": "var", "varietas": "var", "f": "f", "fo": "f", "form": "f", "forma": "f", "subvar": "subvar", "subf": "subf", "nothosubsp": "subsp", "nothovar": "var"}
-#: Values that name nothing, and what stands for a species that was not determined.
-NOTHING = {"bare ground", "nicht bestimmt", "n/a", "na", "unknown", "unbekannt", "indet", "none", "null", "no plants", "?", "-"}
+#: What stands for a species that was not determined.
 UNDETERMINED = {"sp", "spp", "spec", "species", "indet"}
 
 
@@ -50,8 +52,9 @@ class Codes:
 
     def rows(self, texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
         out = np.full((len(texts), width), -1, np.int16)
+        code = self.index.get
         for i, t in enumerate(texts):
-            out[i, : len(t)] = [self.index.get(c, 0) for c in t]
+            out[i, : len(t)] = [code(c, 0) for c in t]
         return out, np.array([len(t) for t in texts], np.int64)
 
 
@@ -99,10 +102,12 @@ class BKTree:
                 nxt += [(int(p[0]), p[1:]) for p in parts if len(p) > 1]
             todo = nxt
 
-    def distances(self, texts: list[str], which: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    def coded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self.codes.rows(texts, max((len(t) for t in texts), default=1) or 1)
+
+    def distances(self, texts: list[str], which: np.ndarray, nodes: np.ndarray, coded: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         """Levenshtein distances of texts[which[i]] to names[nodes[i]]."""
-        width = max((len(t) for t in texts), default=0)
-        rows, lengths = self.codes.rows(texts, max(width, 1))
+        rows, lengths = coded or self.coded(texts)
         out = np.empty(len(nodes), np.int64)
         m = self.length[nodes]
         short = (m > 0) & (m <= 64)
@@ -145,8 +150,9 @@ class BKTree:
         which = np.array([i for i, t in enumerate(texts) if len(t) <= longest], np.int64)
         texts = [t if len(t) <= longest else "" for t in texts]
         nodes = np.full(len(which), self.root, np.int64)
+        coded = self.coded(texts)
         while len(nodes):
-            d = self.distances(texts, which, nodes)
+            d = self.distances(texts, which, nodes, coded)
             for i in np.flatnonzero(d <= limit):
                 found[which[i]].append((int(d[i]), int(nodes[i])))
             w2, n2 = [], []
@@ -211,11 +217,10 @@ _WORD = re.compile(r"^[a-z][a-z-]*[a-z]$")
 
 def readings(value: str, authors: frozenset[str]) -> list[Reading]:
     """The possible readings of a free-entered value, the likeliest first; none for a genus or for no taxon at all."""
-    plain = fold(value)
-    text = plain
+    text = fold(value)
     for _ in range(3):
         text = " ".join(_SENSE.sub(" ", " ".join(_NOTES.sub(" ", text).split())).split()).strip(" ,;.:")
-    if not text or plain.strip(" .,;!") in NOTHING or text in NOTHING:
+    if not text:
         return []
     swapped = re.match(r"^([a-z0-9-]+(?:[ .]+[a-z0-9.-]+)*?)\s*,\s*([a-z0-9-]{2,}\.?)$", text)
     if swapped:
@@ -302,6 +307,14 @@ def transposing_distance(a: str, b: str, limit: int) -> int:
     """Edits with swapped neighbours counted once (not a metric: used to rank candidates only)."""
     if abs(len(a) - len(b)) > limit:
         return limit + 1
+    # What both begin and end with costs nothing.
+    start, most = 0, min(len(a), len(b))
+    while start < most and a[start] == b[start]:
+        start += 1
+    end = 0
+    while end < most - start and a[len(a) - 1 - end] == b[len(b) - 1 - end]:
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
     before, row = [], list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         now = [i]
@@ -370,59 +383,69 @@ class Index:
 
     def _batch(self, values: list[str], authors: list[frozenset[str]]) -> list[list[tuple[int, int]]]:
         read = [(i, r) for i, v in enumerate(values) for r in readings(v, authors[i])]
-        found: list[tuple[int, Reading, list[tuple[int, int]]]] = []
-        for short, tree in ((False, self.full), (True, self.epithets)):
-            mine = [(i, r) for i, r in read if r.abbreviated == short]
-            # Equal keys are looked up once.
-            keys = list(dict.fromkeys(r.key for _, r in mine))
-            hits = dict(zip(keys, tree.within(keys, THRESHOLD)))
-            found += [(i, r, hits[r.key]) for i, r in mine]
         scored: list[dict[int, int]] = [{} for _ in values]
-        for i, r, hits in found:
-            for d, j in hits:
-                entry = self.read[j]
-                if len(entry.epithets) != len(r.epithets) or (r.abbreviated and entry.genus[0] != r.genus):
-                    continue
-                cost = 0
-                if d:
-                    shape = sounds(r.key)
-                    cost = transposing_distance(shape, self.sounds_short[j] if r.abbreviated else self.sounds[j], 2)
-                    if cost > 1 and d > 2:
-                        continue
-                    cost = min(cost, 2) + 1
-                rank_off = int(bool(r.rank and entry.rank and r.rank != entry.rank))
-                author_off = int(not (set(r.author) & self.authors[j]))
-                score = cost * 1000 + rank_off * 100 + author_off * 10 + 5 * r.second + d
-                scored[i][j] = min(score, scored[i].get(j, score))
+        for limit in (0, THRESHOLD):
+            for short, tree in ((False, self.full), (True, self.epithets)):
+                mine = [(i, r) for i, r in read if r.abbreviated == short and not (limit and scored[i])]
+                # Equal keys are looked up once.
+                keys = list(dict.fromkeys(r.key for _, r in mine))
+                hits = dict(zip(keys, tree.within(keys, limit)))
+                for i, r in mine:
+                    self._score(scored[i], r, hits[r.key])
+            # What is written like an entry is done: no other entry can come before it.
+            done = {i for i, s in enumerate(scored) if s}
+            read = [(i, r) for i, r in read if i not in done]
         out = []
         for s in scored:
             low = min(s.values(), default=None)
             out.append([(low, self.ids[j]) for j in sorted(j for j, x in s.items() if x == low)[:2]] if s else [])
         return out
 
+    def _score(self, scores: dict[int, int], r: Reading, hits: list[tuple[int, int]]) -> None:
+        """Put the entries that a reading hits, with their scores, to those of its value."""
+        for d, j in hits:
+            entry = self.read[j]
+            if len(entry.epithets) != len(r.epithets) or (r.abbreviated and entry.genus[0] != r.genus):
+                continue
+            cost = 0
+            if d:
+                shape = sounds(r.key)
+                cost = transposing_distance(shape, self.sounds_short[j] if r.abbreviated else self.sounds[j], 2)
+                if cost > 1 and d > 2:
+                    continue
+                cost = min(cost, 2) + 1
+            rank_off = int(bool(r.rank and entry.rank and r.rank != entry.rank))
+            author_off = int(not (set(r.author) & self.authors[j]))
+            score = cost * 1000 + rank_off * 100 + author_off * 10 + 5 * r.second + d
+            scores[j] = min(score, scores.get(j, score))
+
 
-def map_values(values: DataFrame, refs: DataFrame, broadcast_entries: int = BROADCAST_ENTRIES, block_values: int = BLOCK_VALUES) -> DataFrame:
+def map_values(values: DataFrame, refs: DataFrame, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
     """values (value: distinct text) and refs (ref_id, name, authorship) to (value, ref_id): the entry it stands for, or 0.
 
     Null and blank values and those that several entries fit equally well get 0; repeated entries of the list count once.
     """
     refs = refs.select(F.col("ref_id").cast("long").alias("ref_id"), "name", "authorship").where("ref_id is not null and name is not null").dropDuplicates(["ref_id"])
     n = refs.limit(broadcast_entries + 1).count()
+    parallel = values.sparkSession.sparkContext.defaultParallelism
     if n <= broadcast_entries:
         entries = values.sparkSession.sparkContext.broadcast([tuple(r) for r in refs.orderBy("ref_id").collect()])
         token = uuid.uuid4().hex
         # A fixed number of partitions: values are few bytes but much work, and would be put into one task.
-        best = values.repartition(values.sparkSession.sparkContext.defaultParallelism).mapInPandas(lambda batches: _look_up(batches, entries, token), "value string, score int, ref_id long")
+        best = values.repartition(parallel).mapInPandas(lambda batches: _look_up(batches, entries, token), "value string, score int, ref_id long")
     else:
-        total, count = refs.count(), values.count()
-        shards, blocks = -(-total // broadcast_entries), max(1, -(-count // block_values))
+        shards = -(-refs.count() // broadcast_entries)
+        blocks = -(-parallel // shards)  # as many tasks as run at once, and as many trees
         # Which doubtful words are authors is asked of the whole list, as a shard knows only its own.
         doubtful, words = F.pandas_udf(_doubtful, T.StringType()), F.pandas_udf(_words, T.ArrayType(T.StringType()))
         known = refs.select(F.explode(words("authorship")).alias("word")).distinct()
         asked = values.select("value", doubtful("value").alias("word")).join(known.withColumn("is_author", F.lit(True)), "word", "left")
-        left = asked.withColumn("author", F.when(F.col("is_author"), F.col("word"))).select("value", "author").withColumn("block", F.pmod(F.xxhash64("value"), F.lit(blocks).cast("long"))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-        right = refs.withColumn("shard", F.pmod(F.xxhash64("ref_id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        best = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(_look_up_shard, "value string, score int, ref_id long")
+        every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+        at = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+        left = asked.select(every(shards).alias("shard"), at("value", blocks).alias("block"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("ref_id"), "value", F.when(F.col("is_author"), F.col("word")).alias("author"))
+        right = refs.select(at("ref_id", shards).alias("shard"), every(blocks).alias("block"), F.lit(0).alias("kind"), "ref_id", F.col("name").alias("value"), F.col("authorship").alias("author"))
+        together = right.unionByName(left).repartition(shards * blocks, "shard", "block").sortWithinPartitions("shard", "block", "kind", "ref_id")
+        best = together.mapInPandas(_look_up_shards, "value string, score int, ref_id long")
     merged = best.groupBy("value").agg(F.min("score").alias("low"), F.collect_set(F.struct("score", "ref_id")).alias("c"))
     winners = F.filter("c", lambda x: (x["score"] == F.col("low")) & (x["ref_id"] > 0))
     return merged.select("value", F.when(F.size(winners) == 1, F.get(winners, F.lit(0))["ref_id"]).otherwise(F.lit(0)).cast("long").alias("ref_id"))
@@ -454,6 +477,17 @@ def _look_up(batches: Iterator[pd.DataFrame], entries, token: str) -> Iterator[p
         yield _rows(pdf["value"].tolist(), _cache[token])
 
 
-def _look_up_shard(values: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
-    index = Index(list(zip(refs["ref_id"].tolist(), refs["name"].tolist(), refs["authorship"].tolist())))
-    return _rows(values["value"].tolist(), index, [frozenset([a]) if isinstance(a, str) else frozenset() for a in values["author"]])
+def _look_up_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows in the order of (shard, block): its entries, of which the tree is built, then its values."""
+    at: tuple = ()
+    entries: list[tuple[int, str, str | None]] = []
+    index: Index | None = None
+    for pdf in batches:
+        for key, part in pdf.groupby(["shard", "block"], sort=False):
+            if key != at:
+                at, entries, index = key, [], None
+            refs, values = part[part["kind"] == 0], part[part["kind"] == 1]
+            entries += zip(refs["ref_id"].astype("int64").tolist(), refs["value"].tolist(), refs["author"].tolist())
+            if len(values):
+                index = index or Index(entries)
+                yield _rows(values["value"].tolist(), index, [frozenset([a]) if isinstance(a, str) else frozenset() for a in values["author"]])

@@ -23,7 +23,7 @@ def test_cases(spark):
 
 
 def test_shards_give_the_same(spark):
-    assert run(spark, list(CASES), broadcast_entries=2, block_values=7) == CASES
+    assert run(spark, list(CASES), broadcast_entries=2) == CASES
 
 
 def test_null_and_empty(spark):
@@ -43,3 +43,23 @@ def test_tree_returns_every_entry_within(limit):
     want = [sorted((d, i) for i, n in enumerate(names) if (d := m.plain_distance(a, n)) <= limit) for a in asked]
     assert [sorted(x) for x in tree.within(asked, limit)] == want
     assert m.BKTree([]).within(["a"], 2) == [[]]
+
+
+def test_asking_in_two_steps_gives_the_winners_of_asking_at_once(monkeypatch):
+    """Every candidate within the threshold scored, against radius 0 first."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abeios") for _ in range(rng.randint(3, 7)))
+    entries = [(i, f"{word().capitalize()} {word()}" + (f" var. {word()}" if i % 5 == 0 else ""), None) for i in range(200)]
+    index = m.Index(entries)
+    spoil = lambda x: "".join(rng.choice("abeios") if rng.random() < 0.08 else c for c in x)
+    values = [f(e[1]) for e in entries for f in (str, str.upper, spoil, lambda x: x[0] + ". " + x.split(" ", 1)[1])]
+    got = index.best(values)
+    whole = []
+    for v in values:
+        scores = {}
+        for r in m.readings(v, index.vocabulary):
+            tree = index.epithets if r.abbreviated else index.full
+            index._score(scores, r, [(d, j) for j, name in enumerate(tree.names) if (d := m.plain_distance(r.key, name)) <= m.THRESHOLD])
+        low = min(scores.values(), default=None)
+        whole.append([(low, index.ids[j]) for j in sorted(j for j, x in scores.items() if x == low)[:2]] if scores else [])
+    assert got == whole

@@ -17,7 +17,7 @@ def test_cases(spark):
 
 
 def test_shards_give_the_same(spark):
-    assert run(spark, list(CASES), broadcast_entries=2, block_values=7) == CASES
+    assert run(spark, list(CASES), broadcast_entries=2) == CASES
 
 
 @pytest.mark.parametrize("name", [n for _, n, _, _ in LIST])
