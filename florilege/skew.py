@@ -33,19 +33,21 @@ def hot_values_of(df: DataFrame, keys: list[str], share: float = HOT_SHARE, leas
     return {k: [r["value"] for r in top if r["key"] == k and r["n"] >= share * rows] for k in keys}
 
 
-def salted_join(big: DataFrame, small: DataFrame, on: str, spread: Column, hot: list, how: str = "left") -> DataFrame:
+def salted_join(big: DataFrame, small: DataFrame, on: str, spread: Column, hot: list, how: str = "left", nulls: bool = True) -> DataFrame:
     """Join big to small on one equal-named column: `hot` values of it spread over SALTS tasks, rows of big without a value too.
 
     `small` must hold the key once (or few times) as its hot rows are repeated SALTS times; `how` is inner or left
-    (left_semi and left_anti work as well). Rows of big with a null key match nothing.
+    (left_semi and left_anti work as well). Rows of big with a null key match nothing; nulls=False says that there are none.
     """
+    if not hot and not nulls:
+        return big.join(small, on, how)
     key = F.col(on)
     own = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
     apart = (-1 - F.pmod(F.xxhash64(spread), F.lit(NULL_SALTS))).cast("int")
     salt = F.when(key.isNull(), apart)
     right = small.where(key.isNotNull())
     if hot:
-        is_hot = key.isin(hot)
+        is_hot = F.array_contains(F.lit(hot), key)  # an array is no part of the generated code, which so can be used again
         salt = salt.when(is_hot, own)
         salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
         right = right.withColumn("_salt", F.explode(salts))
