@@ -46,3 +46,15 @@ def test_edges_of_all_kinds(spark):
     edges = [("a", "b"), ("b", "a"), ("a", "b"), ("c", "c"), (None, "a"), ("d", None)]
     assert run(spark, edges) == {"a": "a", "b": "a"}
     assert run(spark, []) == {} and run(spark, [("x", "x")]) == {}
+
+
+def test_hot_vertices_are_spread(spark, monkeypatch):
+    """With every vertex of three links hot, all joins go through their salts."""
+    monkeypatch.setattr(g, "LEAST_HOT", 3)
+    monkeypatch.setattr(g, "HOT_SHARE", 1 / 2000)
+    edges = [("hub", f"s{i:03d}") for i in range(120)] + [("zhub", f"s{i:03d}") for i in range(60)] + [(f"t{i:03d}", f"t{i + 1:03d}") for i in range(60)] + [("s000", "t000")]
+    spread = []
+    join = g.salted_join
+    monkeypatch.setattr(g, "salted_join", lambda big, small, on, by, hot, how, nulls: spread.append(len(hot)) or join(big, small, on, by, hot, how, nulls))
+    assert run(spark, edges) == brute(edges)
+    assert sum(k > 0 for k in spread) > len(spread) // 2
