@@ -6,7 +6,8 @@ distribution) and of Unicode's compatibility decompositions, and adapted to what
 
 * what has no ink is dropped (format characters, soft hyphens, variation selectors), blanks at the ends as well;
 * full-width, joined and other compatibility letters become their usual letters, every single blank or hyphen the usual one;
-* a letter of another script becomes the Latin letter (or letters) it looks like, of the same letter case;
+* a letter becomes the first one of those it looks like, of the same letter case: the ASCII letter if there is one, else the
+  one with the smallest code, whatever its script; what it looks like goes before what it is short for (a lunate sigma is a c);
 * accents, letter case and punctuation stay: `l`, `I` and `1`, `0` and `O`, `m` and `rn` stay apart.
 
 Null looks like null, and like empty text, as string columns hold either for the same thing.
@@ -14,6 +15,7 @@ Null looks like null, and like empty text, as string columns hold either for the
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from functools import lru_cache
 
@@ -24,9 +26,6 @@ from pyspark.sql import types as T
 
 from florilege.session import cut
 
-#: Scripts whose letters are compared with Latin ones, as code point ranges: Latin extensions, Greek, Cyrillic, Armenian,
-#: Cherokee, Lisu, Coptic, phonetic letters and the letter-like symbols.
-RANGES = ((0x100, 0x250), (0x250, 0x2B0), (0x370, 0x400), (0x400, 0x530), (0x530, 0x590), (0x13A0, 0x13FE), (0xAB70, 0xABC0), (0x1D00, 0x1D80), (0x2100, 0x2190), (0x2C60, 0x2D00), (0xA4D0, 0xA500), (0xA640, 0xA6A0), (0xA720, 0xA800))
 #: Kinds of hyphen and of blank that are not covered by a category. The minus and the dashes are longer and show.
 HYPHENS = "‐‑⁃﹣－"
 
@@ -40,34 +39,50 @@ def _no_ink(c: str) -> bool:
     return (unicodedata.category(c) in ("Cf", "Cc") and not _is_blank(c)) or c in "͏ᅟᅠㅤﾠ឴឵⠀" or 0x180B <= o <= 0x180F or 0xFE00 <= o <= 0xFE0F or 0xE0100 <= o <= 0xE01EF
 
 
-def build_table(spark: SparkSession) -> dict[str, str]:
-    """The look-alike table: letter to Latin prototype, asked of ICU once on the driver (about 2,000 letters)."""
-    letters = [chr(o) for lo, hi in RANGES for o in range(lo, hi) if unicodedata.category(chr(o))[0] == "L" and len(unicodedata.normalize("NFD", chr(o))) == 1]
-    ascii_letters = [chr(o) for o in range(33, 127)]
+def letters() -> list[str]:
+    """All letters that stand in a line of text: without raised and lowered ones, and without syllables of joined parts."""
+    out = []
+    for o in range(33, sys.maxunicode + 1):
+        c = chr(o)
+        raised = unicodedata.decomposition(c).startswith(("<super>", "<sub>"))
+        if unicodedata.category(c) in ("Lu", "Ll", "Lt", "Lo") and not raised and not _no_ink(c) and not 0xAC00 <= o < 0xD7A4 and not 0x3400 <= o < 0xA000 and o < 0x20000:
+            out.append(c)
+    return out
+
+
+def shapes(spark: SparkSession, texts: list[str]) -> list[str]:
+    """ICU's confusables skeleton of each text; the texts hold no line ends."""
     checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
-    marks = "\n".join([*letters, *ascii_letters])
-    shapes = checker.getSkeleton(marks).split("\n")
-    if len(shapes) != len(letters) + len(ascii_letters):
+    out = checker.getSkeleton("\n".join(texts)).split("\n")
+    if len(out) != len(texts):
         raise ValueError("ICU's skeleton does not keep line ends apart")
-    by_shape: dict[str, list[str]] = {}
-    for c, shape in zip(ascii_letters, shapes[len(letters):]):
-        by_shape.setdefault(shape, []).append(c)
-    table = {}
-    for c, shape in zip(letters, shapes):
-        same = _same_case(c, by_shape.get(shape, []))
-        if same and same != c:
-            table[c] = same
-    return table
+    return out
+
+
+def case_of(c: str) -> str:
+    """Capital, or not: letters without case are written like small ones."""
+    return "Lu" if unicodedata.category(c) in ("Lu", "Lt") else "Ll"
+
 
+def build_table(spark: SparkSession) -> dict[str, str]:
+    """The look-alike table: letter to prototype (decomposed), asked of ICU once on the driver (some 25,000 letters).
 
-def _same_case(c: str, candidates: list[str]) -> str | None:
-    """Of the ASCII characters of one shape, the letter with the case of c; a shape of l, I, 1 and | has one of each."""
-    kind = unicodedata.category(c)
-    for x in candidates:
-        if x.isalpha() and (unicodedata.category(x) == kind or (kind not in ("Lu", "Ll") and x.islower())):
-            return x
-    # A small letter may look like a capital one in shape only (small capitals): that shows as another case.
-    return None
+    A shape that stands for several marks (l, I, 1 and |) is split by letter case. Prototypes are fixed points of the table.
+    """
+    every = letters()
+    by_shape: dict[tuple[str, str], list[str]] = {}
+    for c, shape in zip(every, shapes(spark, every)):
+        by_shape.setdefault((shape, case_of(c)), []).append(c)
+    table = {}
+    for alike in by_shape.values():
+        # A composed letter that looks like a plain one shows an accent less than it has, so it is left as it is.
+        first = next((c for c in alike if c.isascii()), alike[0])
+        for c in alike:
+            if c != first and unicodedata.normalize("NFD", c) == c:
+                table[c] = unicodedata.normalize("NFD", first)
+    for _ in range(4):
+        table = {c: unicodedata.normalize("NFD", "".join((table.get(x) or _prototype(x)) if x != c else x for x in to)) for c, to in table.items()}
+    return {c: to for c, to in table.items() if to != c}
 
 
 @lru_cache(maxsize=1 << 16)
@@ -93,9 +108,9 @@ def skeleton(text: str | None, table: dict[str, str]) -> str:
         return ""
     if text.isascii() and text.isprintable():
         return text.strip(" ")
-    once = "".join(map(_prototype, unicodedata.normalize("NFD", text)))
-    once = unicodedata.normalize("NFD", once)
-    return unicodedata.normalize("NFD", "".join([table.get(c, c) for c in once])).strip(" ")
+    for _ in range(2):
+        text = "".join([table.get(c) or _prototype(c) for c in unicodedata.normalize("NFD", text)])
+    return unicodedata.normalize("NFD", text).strip(" ")
 
 
 def with_skeletons(df: DataFrame, columns: list[str], prefix: str = "skeleton_") -> DataFrame:
@@ -127,11 +142,23 @@ def members(rows: DataFrame, written: DataFrame) -> DataFrame:
     return keyed.join(written, ["name", "author"]).select("id", "skeleton", "variant", "name", "author").distinct()
 
 
+def linked(member: DataFrame) -> DataFrame:
+    """member with n_members and n_links: the ids of its class, and how many of them are written in another way than it.
+
+    An id that is written in several ways itself has a row for each. This is the form of the result that grows with the rows,
+    not with their pairs.
+    """
+    in_class = member.groupBy("skeleton").agg(F.count_distinct("id").alias("n_members"), F.count_distinct("variant").alias("n_variants"))
+    alike = member.groupBy("skeleton", "variant").agg(F.count_distinct("id").alias("n_alike"))
+    # Ids of several ways of writing are counted once in n_members but in n_alike of each way.
+    return member.join(alike, ["skeleton", "variant"]).join(in_class, "skeleton").withColumn("n_links", F.col("n_members") - F.col("n_alike")).drop("n_alike")
+
+
 def pairs(written: DataFrame, member: DataFrame) -> DataFrame:
     """(a, b), a < b: two ids that look the same and are written differently. Built from pairs of variants, then members."""
     left = written.select("skeleton", F.col("variant").alias("va"))
     right = written.select("skeleton", F.col("variant").alias("vb"))
-    differ = left.join(right, "skeleton").where("va <> vb").select("va", "vb")
-    of = member.select("id", "variant")
-    wide = differ.join(of.select(F.col("id").alias("a"), F.col("variant").alias("va")), "va").join(of.select(F.col("id").alias("b"), F.col("variant").alias("vb")), "vb")
-    return wide.where("a < b").select("a", "b").distinct()
+    differ = left.join(right, "skeleton").where("va <> vb")
+    of = member.select("skeleton", "id", "variant")
+    one, other = of.select("skeleton", F.col("id").alias("a"), F.col("variant").alias("va")), of.select("skeleton", F.col("id").alias("b"), F.col("variant").alias("vb"))
+    return differ.join(one, ["skeleton", "va"]).join(other, ["skeleton", "vb"]).where("a < b").select("a", "b").distinct()

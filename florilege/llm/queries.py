@@ -81,9 +81,11 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_classes(spark: SparkSession, sf: str) -> DataFrame:
-    """(taxonid, skeleton, variant): each taxon whose name is written in several ways that look the same."""
+    """(taxonid, skeleton, variant, n_members, n_variants, n_links): each taxon whose name is written in several ways that look
+    the same, with the size of its class and how many others of it are written differently."""
     names = _names(spark, sf)
-    return lookalikes.members(names, lookalikes.classes(names)).select(F.col("id").alias("taxonid"), "skeleton", "variant")
+    member = cut(lookalikes.members(names, lookalikes.classes(names)))
+    return lookalikes.linked(member).select(F.col("id").alias("taxonid"), "skeleton", "variant", "n_members", "n_variants", "n_links")
 
 
 # --- 7: packing -----------------------------------------------------------------------------------------------------------
