@@ -5,6 +5,8 @@ is smaller). What a source owes is a number of whole rounds of it and a remainde
 source and hash bucket, the bucket in which the remainder ends is found, and only that bucket is cut into finer buckets,
 until it holds one document. Then one threshold per source filters all documents, without a sort.
 
+Histograms stay in Spark: a running sum by source finds the boundary bucket, and one row a source comes to the driver.
+
 Sources without a target and targets without documents have no part in the mix and are reported with 0 tokens; the shares
 of the others keep their proportions. A null source is no source; max_repeats below 1 counts as 0 (source left out).
 """
@@ -13,12 +15,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from florilege.session import cut
+
 #: The hash has LEVELS groups of BITS bits: buckets of one level and how often the boundary bucket can be refined.
 BITS, LEVELS = 12, 5
-#: More target sources than this are refused (their thresholds are part of the plan).
+#: More target sources than this are refused (their thresholds, a row each, are broadcast).
 MOST_SOURCES = 10_000
 
 
@@ -50,12 +54,12 @@ def plan(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> list
     parts = {r["source"]: Part(r["source"], r["share"], max(0, r["repeats"] or 0)) for r in rows}
     if not parts:
         return []
-    hashed = _hashed(sizes).where(F.col("source").isin(list(parts)))
-    sums = {}
-    for r in hashed.groupBy("source", F.shiftright("h", BITS * (LEVELS - 1)).alias("bucket")).agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect():
-        sums.setdefault(r["source"], []).append((r["bucket"], r["t"], r["n"]))
-    for s, buckets in sums.items():
-        parts[s].tokens = sum(t for _, t, _ in buckets)
+    spark = sizes.sparkSession
+    wanted = F.broadcast(spark.createDataFrame([(s,) for s in parts], "source string"))
+    hashed = _hashed(sizes).join(wanted, "source", "left_semi")
+    histogram = cut(_histogram(hashed, BITS * (LEVELS - 1)))
+    for r in histogram.groupBy("source").agg(F.sum("t").alias("t")).collect():
+        parts[r["source"]].tokens = r["t"]
     able = [p for p in parts.values() if p.tokens > 0 and p.max_repeats > 0]
     if not able:
         return list(parts.values())
@@ -67,39 +71,40 @@ def plan(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> list
         p.due = due - p.rounds * p.tokens if p.rounds < p.max_repeats else 0.0
         p.done = p.due <= 0
     for level in range(LEVELS):
+        todo = [p for p in able if not p.done]
+        if not todo:
+            break
         shift = BITS * (LEVELS - 1 - level)
+        room = F.broadcast(spark.createDataFrame([(p.source, p.prefix, p.due - p.below) for p in todo], "source string, prefix long, room double"))
         if level:
-            todo = [p for p in able if not p.done]
-            if not todo:
-                break
-            at = [(F.col("source") == p.source) & (F.shiftright("h", shift + BITS) == p.prefix) for p in todo]
-            here = at[0]
-            for c in at[1:]:
-                here = here | c
-            sums = {}
-            for r in hashed.where(here).groupBy("source", F.shiftright("h", shift).alias("bucket")).agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect():
-                sums.setdefault(r["source"], []).append((r["bucket"], r["t"], r["n"]))
-        for p in able:
-            if not p.done:
-                _narrow(p, sorted(sums.get(p.source, [])), shift, level == LEVELS - 1)
+            inside = hashed.withColumn("prefix", F.shiftright("h", shift + BITS)).join(room.drop("room"), ["source", "prefix"], "left_semi")
+            histogram = _histogram(inside, shift)
+        upto = F.sum("t").over(Window.partitionBy("source").orderBy("bucket"))  # at most 2^BITS rows a source
+        over = histogram.join(room, "source").withColumn("upto", upto).where(F.col("upto") > F.col("room"))
+        first = {r["source"]: r["b"] for r in over.groupBy("source").agg(F.min(F.struct("bucket", "t", "n", "upto")).alias("b")).collect()}
+        for p in todo:
+            _narrow(p, first.get(p.source), shift, level == LEVELS - 1)
     return list(parts.values())
 
 
-def _narrow(p: Part, buckets: list[tuple[int, int, int]], shift: int, last: bool) -> None:
-    """Take whole buckets as long as they fit; stop in the bucket where the remainder ends."""
-    for bucket, t, n in buckets:
-        if p.below + t <= p.due:
-            p.below += t
-            continue
-        p.prefix, p.threshold = bucket, bucket << shift
-        if n == 1 or last:
-            # One document is left over or taken, whichever comes closer.
-            if p.below + t - p.due < p.due - p.below:
-                p.below += t
-                p.threshold = (bucket + 1) << shift
-            p.done = True
+def _histogram(hashed: DataFrame, shift: int) -> DataFrame:
+    """(source, bucket, t, n): tokens and documents of each bucket of the hash."""
+    return hashed.groupBy("source", F.shiftright("h", shift).alias("bucket")).agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n"))
+
+
+def _narrow(p: Part, boundary: Row | None, shift: int, last: bool) -> None:
+    """Take the whole buckets before the one in which the remainder ends; without such a bucket all of them."""
+    if boundary is None:
+        p.threshold, p.done = 1 << (BITS * LEVELS), True
         return
-    p.threshold, p.done = 1 << (BITS * LEVELS), True
+    p.below += boundary["upto"] - boundary["t"]
+    p.prefix, p.threshold = boundary["bucket"], boundary["bucket"] << shift
+    if boundary["n"] == 1 or last:
+        # One document is left over or taken, whichever comes closer.
+        if p.below + boundary["t"] - p.due < p.due - p.below:
+            p.below += boundary["t"]
+            p.threshold = (boundary["bucket"] + 1) << shift
+        p.done = True
 
 
 def mix(sizes: DataFrame, parts: list[Part]) -> DataFrame:
@@ -107,11 +112,10 @@ def mix(sizes: DataFrame, parts: list[Part]) -> DataFrame:
     used = [p for p in parts if p.rounds or p.due > 0]
     if not used:
         return sizes.select("doc_id", "source", "n_tokens", F.lit(0).alias("copies")).where("false")
-    given = F.map_from_arrays(F.array(*[F.lit(p.source) for p in used]), F.array(*[F.struct(F.lit(p.rounds).alias("rounds"), F.lit(p.threshold).cast("long").alias("below")) for p in used]))
-    rule = F.element_at(given, F.col("source"))
-    chosen = _hashed(sizes).where(F.col("source").isin([p.source for p in used])).withColumn("rule", rule)
-    copies = F.col("rule.rounds") + F.when(F.col("h") < F.col("rule.below"), 1).otherwise(0)
-    return chosen.withColumn("copies", copies.cast("int")).where("copies > 0").select("doc_id", "source", "n_tokens", "copies")
+    rules = F.broadcast(sizes.sparkSession.createDataFrame([(p.source, p.rounds, p.threshold) for p in used], "source string, rounds int, below long"))
+    chosen = _hashed(sizes).join(rules, "source")
+    copies = F.col("rounds") + F.when(F.col("h") < F.col("below"), 1).otherwise(0)
+    return chosen.select("doc_id", "source", "n_tokens", copies.cast("int").alias("copies")).where("copies > 0")
 
 
 def report(sizes: DataFrame, mixed: DataFrame, targets: DataFrame) -> DataFrame:

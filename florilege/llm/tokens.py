@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
-#: Texts are cut at line ends into stretches of about this many characters only if the tokenizer refuses the whole text.
+#: Only if the tokenizer refuses a whole text it is cut into stretches of about this many characters, before the last line end
+#: above a letter, where no token goes across; a stretch without such a place is cut at its last blank, or where it ends.
 STRETCH = 100_000
 
 
@@ -39,8 +40,19 @@ def count(text: str | None, encoding) -> int:  # noqa: ANN001
     except BaseException as refused:  # the library's panics are no Exceptions
         if isinstance(refused, (KeyboardInterrupt, SystemExit, MemoryError)):
             raise
-        stretches = [text[i : i + STRETCH] for i in range(0, len(text), STRETCH)]
-        return sum(len(encoding.encode_ordinary(s)) for s in stretches)
+        return sum(len(encoding.encode_ordinary(s)) for s in stretches(text))
+
+
+def stretches(text: str, size: int = STRETCH) -> list[str]:
+    """text in pieces of at most `size` characters."""
+    out, at = [], 0
+    while len(text) - at > size:
+        end = at + size
+        place = next((i for i in range(end, at, -1) if text[i] == "\n" and not text[i + 1 : i + 2].isspace()), 0)
+        place = place or next((i for i in range(end, at, -1) if text[i] == " " and not text[i - 1].isspace()), end)
+        out.append(text[at:place])
+        at = place
+    return [*out, text[at:]]
 
 
 def n_tokens(column: str, path: str = TOKENIZER, pattern: str | None = None) -> Column:

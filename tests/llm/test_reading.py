@@ -143,3 +143,13 @@ def test_tokens(spark):
     for i in (2, 3, 4, 5):
         ids = encoding.encode_ordinary(texts[i])
         assert got[i] == len(ids) and encoding.decode(ids) == texts[i]
+
+
+def test_stretches_do_not_change_the_count():
+    encoding = tokens.load(tokens.TOKENIZER)
+    text = "".join(f"The {i}th line of it, nothing more.\n" + "\n" * (i % 3) for i in range(300))
+    for size in (40, 100, 1000):
+        pieces = tokens.stretches(text, size)
+        assert "".join(pieces) == text and max(map(len, pieces)) <= size
+        assert sum(len(encoding.encode_ordinary(p)) for p in pieces) == len(encoding.encode_ordinary(text))
+    assert "".join(tokens.stretches("x" * 95, 10)) == "x" * 95
