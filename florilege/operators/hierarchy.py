@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from florilege.session import cut
-from florilege.skew import hot_values, salted_join
+from florilege.skew import HOT_SHARE, hot_values, salted_join
 
 #: Siblings are linked in ranges of this many ids, so that one parent of very many children is no single task.
 SIBLING_BITS = 16
@@ -35,6 +35,8 @@ RESIDUAL = 200_000
 #: Intervals are swept in chunks of this many positions.
 CHUNK = 1 << 16
 PEEL_ROUNDS = 3
+#: Below this many rows no node is spread.
+LEAST_HOT = 10_000
 
 
 def encode(rows: DataFrame) -> DataFrame:
@@ -62,6 +64,7 @@ def peel(nodes: DataFrame) -> Peeled:
     cycle. The peeled leaves below a cycle get their cycle from their parent, layer by layer, at the end.
     """
     alive = nodes.where(F.col("pid").isNotNull()).select("nid", "pid")
+    hot_parents = hot_values(alive, "pid", least=LEAST_HOT)
     layers: list[DataFrame] = []
     for _ in range(PEEL_ROUNDS):
         inner = alive.select(F.col("pid").alias("nid")).distinct()
@@ -70,27 +73,36 @@ def peel(nodes: DataFrame) -> Peeled:
         alive = split.where("inner").select("nid", "pid")
     # Pointer doubling over the core. ptr: the ancestor 2^k up, null beyond the end; low: the smallest id passed.
     core = cut(alive.select("nid", F.col("pid").alias("ptr"), F.col("nid").alias("low")))
-    open_before, bound, steps = core.count(), 0, 1
+    (open_before, hot), bound, steps = _open(core, 0), 0, 1
     closed = open_before == 0
     while not closed:
         to = core.select(F.col("nid").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("low").alias("low2"))
-        core = cut(core.join(to, "ptr", "inner").where("ptr2 is not null").select("nid", F.col("ptr2").alias("ptr"), F.least("low", "low2").alias("low")))
+        # After k rounds all nodes below an ancestor share few pointers; those are spread.
+        ahead = salted_join(core, to, "ptr", F.col("nid"), hot, "inner", nulls=False)
+        core = cut(ahead.where("ptr2 is not null").select("nid", F.col("ptr2").alias("ptr"), F.least("low", "low2").alias("low")), core)
         steps *= 2
-        open_now = core.count()
+        open_now, hot = _open(core, open_before)
         # A round that ends no chain proves that no chain is left; then the rest needs windows as long as its cycles.
         if bound == 0 and open_now == open_before:
             bound = max(1, open_now)
         open_before = open_now
         closed = open_now == 0 or (bound > 0 and steps > 2 * bound)
     low_at = core.select(F.col("nid").alias("ptr"), F.col("low").alias("cycle_nid"))
-    cyclic = core.join(low_at, "ptr").select("nid", "cycle_nid")
+    cyclic = salted_join(core, low_at, "ptr", F.col("nid"), hot, "inner", nulls=False).select("nid", "cycle_nid")
     for layer in reversed(layers):
         above = cyclic.select(F.col("nid").alias("pid"), "cycle_nid")
-        cyclic = cyclic.unionByName(layer.join(above, "pid").select("nid", "cycle_nid"))
-        cyclic = cut(cyclic)
+        cyclic = cut(cyclic.unionByName(salted_join(layer, above, "pid", F.col("nid"), hot_parents, "inner", nulls=False).select("nid", "cycle_nid")))
     return Peeled(nodes, cyclic)
 
 
+def _open(core: DataFrame, before: int) -> tuple[int, list[int]]:
+    """The number of nodes whose pointer is still on its way, and the pointers that very many share, from one pass."""
+    per = core.groupBy("ptr").agg(F.count(F.lit(1)).alias("n"))
+    many = F.col("n") >= F.lit(max(LEAST_HOT, int(HOT_SHARE * before)))
+    r = per.agg(F.sum("n").alias("n"), F.collect_list(F.when(many, F.struct("n", "ptr"))).alias("hot")).first()
+    return r["n"] or 0, [x["ptr"] for x in sorted(r["hot"], reverse=True)[: int(2 / HOT_SHARE)]]
+
+
 def cycles(peeled: Peeled) -> DataFrame:
     """(tree, node_id, cycle_id): every node on a cycle or below one, with the smallest id, as text, on that cycle."""
     name = peeled.nodes.select("tree", "id", "nid")
@@ -110,11 +122,13 @@ def _siblings(tree: DataFrame) -> tuple[DataFrame, DataFrame]:
     return linked, starts.groupBy("pid").agg(F.min("start").alias("first"))
 
 
-def euler(tree: DataFrame) -> DataFrame:
+def euler(tree: DataFrame, residual: int | None = None) -> DataFrame:
     """(nid, root, entry, exit, depth) of an acyclic forest (nid, pid): list ranking over its Euler tours.
 
-    Element 2*nid enters a node, 2*nid + 1 leaves it; every root heads a list of its own with entry 0.
+    Element 2*nid enters a node, 2*nid + 1 leaves it; every root heads a list of its own with entry 0. residual: how many
+    elements one task may rank (RESIDUAL).
     """
+    residual = RESIDUAL if residual is None else residual
     sib, first = _siblings(tree)
     wide = tree.join(first.withColumnRenamed("pid", "nid"), "nid", "left").join(sib, "nid", "left")
     enter, leave = (lambda c: F.col(c) * 2), (lambda c: F.col(c) * 2 + 1)
@@ -130,7 +144,7 @@ def euler(tree: DataFrame) -> DataFrame:
     joined: list[DataFrame] = []
     # A list that is contracted to its head is done; however many there are, they need no ranking.
     done = F.col("head") & F.col("next").isNull()
-    while level.where(~done).count() > RESIDUAL:
+    while level.where(~done).count() > residual:
         absorbed = cut(_contract(level, len(joined)))
         joined.append(absorbed)
         level = absorbed.select("e", "next", "head", "w", "d")
@@ -187,13 +201,13 @@ def _rank_residual(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"e": e, "root": e[prev], "pos": w, "depth": d})
 
 
-def hierarchy(peeled: Peeled) -> DataFrame:
+def hierarchy(peeled: Peeled, residual: int | None = None) -> DataFrame:
     """(tree, node_id, parent_id, root_id, depth, path, n_descendants, entry, exit) of every node that reaches a root.
 
     path: array of ids from the root to the node. Nodes of `cycles` are not in the result.
     """
     tree = cut(peeled.nodes.join(peeled.cyclic.select("nid"), "nid", "left_anti"))
-    spans = euler(tree.select("nid", "pid")).join(tree.select("nid", "tree", "id"), "nid")
+    spans = euler(tree.select("nid", "pid"), residual).join(tree.select("nid", "tree", "id"), "nid")
     spans = cut(spans)
     first, last = F.floor(F.col("entry") / CHUNK), F.floor(F.col("exit") / CHUNK)
     own = spans.select("root", first.alias("chunk"), F.lit(1).alias("kind"), "entry", "exit", "tree", "id", "depth")
@@ -230,7 +244,11 @@ def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def descendants(tree: DataFrame) -> DataFrame:
-    """(tree, ancestor_id, descendant_id, distance): every proper pair, from the paths of `hierarchy`."""
+    """(tree, ancestor_id, descendant_id, distance): every proper pair, from the paths of `hierarchy`.
+
+    The pairs grow with the depth of the trees; their compact form are the entries and exits of `hierarchy`: a node's
+    descendants are the nodes of its root whose entry lies between its own entry and exit.
+    """
     steps = tree.select("tree", F.col("node_id").alias("descendant_id"), "depth", F.posexplode("path").alias("level", "ancestor_id"))
     return steps.where("level < depth").select("tree", "ancestor_id", "descendant_id", (F.col("depth") - F.col("level")).cast("int").alias("distance"))
 

@@ -32,6 +32,11 @@ def p2_hierarchy(spark: SparkSession, sf: str) -> DataFrame:
     return tree.withColumn("path", F.array_join("path", ">"))
 
 
+def p2_contracted(spark: SparkSession, sf: str) -> DataFrame:
+    """p2_hierarchy with lists contracted down to 500 elements, so that small tables go through the parallel ranking too."""
+    return h.hierarchy(_peeled(spark, sf), residual=500).withColumn("path", F.array_join("path", ">"))
+
+
 def p2_descendants(spark: SparkSession, sf: str) -> DataFrame:
     return h.descendants(h.hierarchy(_peeled(spark, sf)))
 
@@ -81,7 +86,7 @@ def p6_valid_wcvp(spark: SparkSession, sf: str) -> DataFrame:
     return rec.valid(rec.check(_table(spark, sf, "raw_records"), _table(spark, sf, "rank_list"), rec.WCVP))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_hierarchy, p2_descendants, p4_found, p4_report, p6_found, p6_errors, p6_valid_floraveg, p6_valid_wcvp)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_hierarchy, p2_contracted, p2_descendants, p4_found, p4_report, p6_found, p6_errors, p6_valid_floraveg, p6_valid_wcvp)}
 
 _NODES = """
 raw AS (
@@ -137,3 +142,4 @@ SELECT tree, a AS ancestor_id, id AS descendant_id, (depth - level)::INTEGER AS
     "p4_found": f"WITH {_REFS} SELECT src, field, row_seq, kind, period FROM judged WHERE kind IS NOT NULL",
     "p4_report": f"WITH {_REFS} SELECT src, field, period, kind, count(*) AS n_rows FROM judged WHERE kind IS NOT NULL GROUP BY ALL",
 }
+ORACLE["p2_contracted"] = ORACLE["p2_hierarchy"]

@@ -73,7 +73,7 @@ def test_edge_cases(spark):
 
 def test_hot_parent(spark, monkeypatch):
     """One parent of nearly all rows goes through the salted join."""
-    monkeypatch.setattr(h, "hot_values", lambda df, key: ["t\x1fhub"])
+    monkeypatch.setattr(h, "hot_values", lambda df, key, **how: ["t\x1fhub"] if key == "link" else [])
     links = [("hub", None)] + [(f"k{i}", "hub") for i in range(200)]
     _, tree, _ = run(spark, links)
     assert tree["hub"]["n_descendants"] == 200 and all(tree[f"k{i}"]["depth"] == 1 for i in range(200))
@@ -82,3 +82,18 @@ def test_hot_parent(spark, monkeypatch):
 def test_links_keeps_only_its_columns(spark):
     df = spark.createDataFrame([("x", "y", 1, "clash")], "node string, up string, seq long, tree string")
     assert h.links(df, "t", F.col("node"), F.col("up"), "seq").collect()[0].asDict() == {"tree": "t", "id": "x", "parent": "y", "order": 1}
+
+
+def test_hot_pointers_are_spread(spark, monkeypatch):
+    """Chains below one ancestor come to share its pointers; with a threshold of three they all go through the salts."""
+    monkeypatch.setattr(h, "LEAST_HOT", 3)
+    monkeypatch.setattr(h, "HOT_SHARE", 1 / 2000)
+    links = [(f"r{i}", f"r{(i + 1) % 9}") for i in range(9)] + [(f"c{k}-{i:02d}", f"c{k}-{i - 1:02d}" if i else "r0") for k in range(12) for i in range(20)]
+    links += [(f"d{k}-{i:02d}", f"d{k}-{i - 1:02d}" if i else None) for k in range(3) for i in range(30)]
+    paths, cyclic = brute(dict(links))
+    spread = []
+    join = h.salted_join
+    monkeypatch.setattr(h, "salted_join", lambda big, small, on, by, hot, how="left", **more: spread.append(len(hot)) or join(big, small, on, by, hot, how, **more))
+    found, tree, _ = run(spark, links)
+    assert found == cyclic and {k: r["path"] for k, r in tree.items()} == paths
+    assert max(spread) > 1
