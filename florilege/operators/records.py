@@ -179,7 +179,7 @@ def check(raw: DataFrame, ranks: DataFrame, feed: Feed) -> DataFrame:
         rows = _rank_known(rows, feed, ranks, "taxonrank", any_case=True)
         properties = F.col("dynamicproperties")
         rules = [
-            error("value", "taxonid", ~F.coalesce(F.col("taxonid").rlike(r"\A[0-9]{8}\z"), F.lit(False))),
+            error("value", "taxonid", ~F.coalesce(F.col("taxonid").rlike(r"\A[0-9]{8}\z") & F.col("taxonid").try_cast("int").isNotNull(), F.lit(False))),
             error("value", "taxonrank", ~F.col("rank_ok")),
             error("value", "dynamicproperties", properties.isNotNull() & ~is_json_object(properties)),
         ]
@@ -192,6 +192,16 @@ def valid(checked: DataFrame) -> DataFrame:
     return checked.where(F.size("errors") == 0).drop("errors", "quoting_ok", "n_fields")
 
 
+#: The numbers that keys are cast to, by feed: column, name and type of the number. A number of more digits is null.
+NUMBERS = {FLORAVEG.name: ("source_id", "source_number", "bigint"), WCVP.name: ("taxonid", "taxon_number", "int")}
+
+
+def typed(checked: DataFrame, feed: Feed) -> DataFrame:
+    """The valid rows with their key as a number next to its text."""
+    column, number, kind = NUMBERS[feed.name]
+    return valid(checked).withColumn(number, F.col(column).try_cast(kind))
+
+
 def failures(raw: DataFrame, ranks: DataFrame) -> DataFrame:
     """(record_id, reason, errors) of every record that fails; reason is the first of quoting, columns, value."""
     bad = [check(raw, ranks, f).where(F.size("errors") > 0).select("record_id", F.col("errors")[0]["reason"].alias("reason"), "errors") for f in FEEDS]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from florilege.functions.text import key, period
+from florilege.functions.text import BLANKS, key, period
 from florilege.operators import hierarchy as h
 from florilege.operators import records as rec
 from florilege.operators import references as ref
@@ -79,11 +79,11 @@ def p6_errors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_valid_floraveg(spark: SparkSession, sf: str) -> DataFrame:
-    return rec.valid(rec.check(_table(spark, sf, "raw_records"), _table(spark, sf, "rank_list"), rec.FLORAVEG))
+    return rec.typed(rec.check(_table(spark, sf, "raw_records"), _table(spark, sf, "rank_list"), rec.FLORAVEG), rec.FLORAVEG)
 
 
 def p6_valid_wcvp(spark: SparkSession, sf: str) -> DataFrame:
-    return rec.valid(rec.check(_table(spark, sf, "raw_records"), _table(spark, sf, "rank_list"), rec.WCVP))
+    return rec.typed(rec.check(_table(spark, sf, "raw_records"), _table(spark, sf, "rank_list"), rec.WCVP), rec.WCVP)
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_hierarchy, p2_contracted, p2_descendants, p4_found, p4_report, p6_found, p6_errors, p6_valid_floraveg, p6_valid_wcvp)}
@@ -142,4 +142,62 @@ SELECT tree, a AS ancestor_id, id AS descendant_id, (depth - level)::INTEGER AS
     "p4_found": f"WITH {_REFS} SELECT src, field, row_seq, kind, period FROM judged WHERE kind IS NOT NULL",
     "p4_report": f"WITH {_REFS} SELECT src, field, period, kind, count(*) AS n_rows FROM judged WHERE kind IS NOT NULL GROUP BY ALL",
 }
-ORACLE["p2_contracted"] = ORACLE["p2_hierarchy"]
+
+#: Strict JSON as a regular expression, to the depth that the test records have.
+_STRING = r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"'
+_SCALAR = rf"(?:{_STRING}|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)"
+_S = r"[ \t\n\r]*"
+
+
+def _json_object(depth: int) -> str:
+    value = _SCALAR if depth == 0 else rf"(?:{_SCALAR}|{_json_object(depth - 1)}|\[{_S}(?:{_SCALAR}{_S}(?:,{_S}{_SCALAR}{_S})*)?\])"
+    pair = rf"{_STRING}{_S}:{_S}{value}{_S}"
+    return rf"\{{{_S}(?:{pair}(?:,{_S}{pair})*)?\}}"
+
+
+_B = f"'{BLANKS}'"
+_W = "[" + "".join(rf"\x{{{ord(c):x}}}" for c in BLANKS) + "]"
+_FIELD = rf'(?:{_W}*"(?:[^"]|"")*"{_W}*|{_W}*[^"|\n\r]*{_W}*)'
+
+
+def _bare(x: str) -> str:
+    return f"trim({x}, {_B})"
+
+
+def _unquoted(x: str) -> str:
+    f = _bare(x)
+    return f"""CASE WHEN starts_with({f}, '"') AND ends_with({f}, '"') AND length({f}) > 1 THEN replace(substr({f}, 2, length({f}) - 2), '""', '"') ELSE {f} END"""
+
+
+def _column(name: str) -> str:
+    return f'"{name}"'
+
+
+_RECORDS = f"""
+lines AS (SELECT record_id, {_bare('feed')} AS feed, line_no, replace(regexp_replace(coalesce(line, ''), '\\r\\z', ''), chr(0), chr(65533)) AS line FROM raw_records),
+flo_split AS (SELECT *, regexp_full_match(line, '{_FIELD}(?:\\|{_FIELD})*', 's') AS quoting_ok,
+  string_split(array_to_string(list_transform(string_split(line, '"'), lambda x, i: CASE WHEN i % 2 = 1 THEN replace(x, '|', chr(1)) ELSE x END), '"'), chr(1)) AS f FROM lines WHERE feed = 'floraveg_sample'),
+flo AS (SELECT record_id, feed, line_no, quoting_ok, len(f) AS n_fields, {', '.join(f"nullif({_bare(_unquoted(f'f[{i + 1}]'))}, '') AS {_column(c)}" for i, c in enumerate(rec.FLORAVEG.columns))} FROM flo_split),
+wcv_split AS (SELECT *, string_split(line, '|') AS f FROM lines WHERE feed = 'wcvp_taxon'),
+wcv AS (SELECT record_id, feed, line_no, len(f) AS n_fields, {', '.join(f"nullif({_bare(f'f[{i + 1}]')}, '') AS {_column(c)}" for i, c in enumerate(rec.WCVP.columns))} FROM wcv_split),
+ranks AS (SELECT DISTINCT {_bare('feed')} AS feed, {_bare('rank')} AS rank FROM rank_list),
+errs AS (
+  SELECT record_id, 1 AS o, 'quoting' AS reason, NULL::VARCHAR AS "column", NULL::VARCHAR AS value FROM flo WHERE NOT quoting_ok
+  UNION ALL SELECT record_id, 2, 'columns', NULL, NULL FROM flo WHERE n_fields <> 5
+  UNION ALL SELECT record_id, 3, 'value', 'taxon', taxon FROM flo WHERE taxon IS NULL
+  UNION ALL SELECT record_id, 4, 'value', 'rank', rank FROM flo WHERE rank NOT IN (SELECT rank FROM ranks WHERE feed = 'floraveg_sample')
+  UNION ALL SELECT record_id, 5, 'value', 'accepted_taxon', accepted_taxon FROM flo WHERE NOT (regexp_full_match(accepted_taxon, '(?:[\\p{{L}}.\\-×()&,]|''|{_W})*') AND regexp_matches(accepted_taxon, '\\p{{L}}'))
+  UNION ALL SELECT record_id, 6, 'value', 'source_id', source_id FROM flo WHERE source_id IS NULL OR NOT regexp_full_match(source_id, '[0-9]+')
+  UNION ALL SELECT record_id, 2, 'columns', NULL, NULL FROM wcv WHERE n_fields <> 18
+  UNION ALL SELECT record_id, 3, 'value', 'taxonid', taxonid FROM wcv WHERE taxonid IS NULL OR NOT regexp_full_match(taxonid, '[0-9]{{8}}')
+  UNION ALL SELECT record_id, 4, 'value', 'taxonrank', taxonrank FROM wcv WHERE lower(taxonrank) NOT IN (SELECT lower(rank) FROM ranks WHERE feed = 'wcvp_taxon')
+  UNION ALL SELECT record_id, 5, 'value', 'dynamicproperties', dynamicproperties FROM wcv WHERE NOT regexp_full_match(dynamicproperties, '{_S}{_json_object(1)}{_S}', 's')
+)"""
+
+ORACLE |= {
+    "p2_contracted": ORACLE["p2_hierarchy"],
+    "p6_found": f"WITH {_RECORDS} SELECT record_id, arg_min(reason, o) AS reason FROM errs GROUP BY 1 UNION ALL SELECT record_id, 'columns' FROM lines WHERE feed IS NULL OR feed NOT IN ('floraveg_sample', 'wcvp_taxon')",
+    "p6_errors": f'WITH {_RECORDS} SELECT record_id, reason, "column", value FROM errs',
+    "p6_valid_floraveg": f"WITH {_RECORDS} SELECT * EXCLUDE (quoting_ok, n_fields), TRY_CAST(source_id AS BIGINT) AS source_number FROM flo WHERE record_id NOT IN (SELECT record_id FROM errs)",
+    "p6_valid_wcvp": f"WITH {_RECORDS} SELECT * EXCLUDE (n_fields), taxonid::INTEGER AS taxon_number FROM wcv WHERE record_id NOT IN (SELECT record_id FROM errs)",
+}

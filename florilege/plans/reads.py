@@ -11,7 +11,7 @@ from florilege.operators import lookup as lk
 from florilege.operators import suggest as sg
 from florilege.plans import index as ix
 from florilege.plans import sql as s
-from florilege.plans.reference import _ENTRIES, _WON, _match_sql
+from florilege.plans.reference import _ENTRIES, _SPELLED, _WON, _match_sql
 from florilege.plans.registry import Registry
 
 registry = Registry()
@@ -66,9 +66,6 @@ def _suggest_main(area: str, rank: str = "") -> str:
     return s.with_("lookup name_rows closure", "SELECT qid, position, concept_id, canonical, rank, status, round(score, 9) AS score, in_area, aggregate, sec_reference FROM placed WHERE position <= 10", s.crosswalk("name_rows", "taxon", "lookup"), _ENTRIES, _SUGGEST, _suggest_sql(area, rank))
 
 
-_SPELLED = """spelled AS (SELECT concept_id, arg_min(name, (status <> 'accepted', ext_id)) FILTER (aggregate) AS of_aggregate, arg_min(name, (status <> 'accepted', ext_id)) FILTER (NOT aggregate) AS of_plain, arg_min(name, ext_id) AS of_any FROM entries GROUP BY concept_id)"""
-
-
 def _suggest(spark: SparkSession, sf: str, area: str, ranks: tuple[str, ...] = ()) -> DataFrame:
     i = ix.index(spark, sf)
     rows = ix.search_rows(spark, sf)

@@ -238,7 +238,7 @@ dec AS (
 ),
 sole AS (SELECT *, CASE WHEN n_won = 1 THEN won_id WHEN n_acc = 1 THEN acc_id WHEN n_acc = 0 AND n_hom = 1 THEN hom_id END AS sole_id FROM dec),
 exact AS (
-  SELECT id, ord,
+  SELECT id, ord, aggregate, kind, n_won,
     CASE WHEN NOT aggregate THEN CASE WHEN sole_id IS NOT NULL THEN kind ELSE 'unresolvable' END WHEN ord = 0 THEN CASE WHEN n_any = 1 THEN 'aggregate_alias' ELSE 'unresolvable' END
       WHEN {s.is_aggregate('key')} THEN 'aggregate_alias' ELSE 'aggregate_nominate' END AS match_type,
     CASE WHEN aggregate AND ord = 0 THEN CASE WHEN n_any = 1 THEN any_id END ELSE sole_id END AS concept_id,
@@ -262,7 +262,7 @@ near AS (
   SELECT * FROM (SELECT o.id, o.canon, o.aggregate, l.name_id, l.canonical_fold, row_number() OVER (PARTITION BY o.id ORDER BY abs(length(l.canonical_fold) - length(o.canon)), l.canonical_fold, l.name_id) AS k
     FROM open o JOIN (SELECT DISTINCT name_id, canonical_fold FROM lookup WHERE canonical_fold <> '') l ON substr(l.canonical_fold, 1, 1) = substr(o.canon, 1, 1) AND abs(length(l.canonical_fold) - length(o.canon)) <= 3 WHERE o.canon <> '') WHERE k <= 20
 ),
-scored AS (SELECT a.id, a.aggregate, l.canonical, l.concept_id, 1 - levenshtein({_BYTES.format('a.canon')}, {_BYTES.format('a.canonical_fold')}) / greatest(length(a.canon), length(a.canonical_fold))::DOUBLE AS score FROM near a JOIN lookup l ON l.name_id = a.name_id),
+scored AS (SELECT a.id, a.aggregate, l.name_id, l.canonical, l.concept_id, 1 - levenshtein({_BYTES.format('a.canon')}, {_BYTES.format('a.canonical_fold')}) / greatest(length(a.canon), length(a.canonical_fold))::DOUBLE AS score FROM near a JOIN lookup l ON l.name_id = a.name_id),
 top AS (SELECT *, max(score) OVER (PARTITION BY id) AS best FROM scored WHERE score >= 0.70)"""
 
 
@@ -283,8 +283,37 @@ def match_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
     return a.select("id", "best", F.when(~sure, "near_miss").when(F.col("one"), "fuzzy").otherwise("ambiguous").alias("outcome"), F.when(sure & F.col("one"), F.col("cid")).alias("concept_id"), "n_shown")
 
 
-@query()
+_BATCH = f"""
+shown AS (SELECT id, list(canonical ORDER BY score DESC, canonical) AS names FROM (SELECT id, canonical, max(score) AS score FROM top GROUP BY ALL) GROUP BY id),
+fz AS (SELECT id, max(best) AS best, count(DISTINCT concept_id) FILTER (score = best) AS n, min(concept_id) FILTER (score = best) AS cid, list(canonical ORDER BY concept_id, name_id, canonical) FILTER (score = best) AS names FROM top GROUP BY id),
+res AS (
+  SELECT id, match_type, CASE match_type WHEN 'exact_author' THEN 0.99 WHEN 'exact' THEN 0.90 WHEN 'aggregate_alias' THEN 0.95 WHEN 'aggregate_nominate' THEN 0.88 END AS confidence, concept_id, match_type = 'unresolvable' AS requires_review,
+    CASE match_type WHEN 'aggregate_alias' THEN {s.q(m.NOTE_AGGREGATE)} WHEN 'aggregate_nominate' THEN {s.q(m.NOTE_NOMINATE)} WHEN 'unresolvable' THEN CASE WHEN NOT aggregate AND n_won = 0 THEN {s.q(m.NOTE_UNRESOLVABLE)} ELSE {s.q(m.NOTE_AMBIGUOUS)} END END AS note, candidates FROM decided
+  UNION ALL SELECT o.id, CASE WHEN f.best >= 0.85 AND f.n = 1 THEN 'fuzzy' ELSE 'unresolvable' END, CASE WHEN f.best >= 0.85 AND f.n = 1 THEN f.best END, CASE WHEN f.best >= 0.85 AND f.n = 1 THEN f.cid END, TRUE,
+    CASE WHEN f.id IS NULL THEN CASE WHEN o.aggregate THEN {s.q(m.NOTE_AGGREGATE_OPEN)} ELSE {s.q(m.NOTE_UNRESOLVABLE)} END
+      ELSE CASE WHEN o.aggregate THEN {s.q(m.AGGREGATE_PREFIX)} ELSE '' END || CASE WHEN f.best < 0.85 THEN {s.q(m.NOTE_NEAR_MISS)} WHEN f.n = 1 THEN {s.q(m.NOTE_FUZZY)} ELSE {s.q(m.NOTE_FUZZY_AMBIGUOUS)} END END,
+    CASE WHEN f.id IS NULL THEN [] WHEN f.best < 0.85 THEN w.names ELSE f.names END FROM open o LEFT JOIN fz f ON f.id = o.id LEFT JOIN shown w ON w.id = o.id
+)"""
+
+
+#: The spelling of each concept in the name space.
+_SPELLED = """spelled AS (SELECT concept_id, arg_min(name, (status <> 'accepted', ext_id)) FILTER (aggregate) AS of_aggregate, arg_min(name, (status <> 'accepted', ext_id)) FILTER (NOT aggregate) AS of_plain, arg_min(name, ext_id) AS of_any FROM entries GROUP BY concept_id)"""
+
+
+@query(s.with_("verbatim lookup name_rows", """SELECT r.id, r.match_type, round(r.confidence, 9)::DOUBLE AS confidence, r.concept_id, r.requires_review, r.note, array_to_string(r.candidates, '|') AS candidates,
+  CASE WHEN r.concept_id IS NOT NULL THEN coalesce(CASE WHEN q.aggregate THEN z.of_aggregate ELSE coalesce(z.of_plain, z.of_any) END, '') END AS target_space_name,
+  CASE WHEN r.concept_id IS NOT NULL THEN CASE WHEN NOT q.aggregate THEN '' WHEN z.of_aggregate IS NOT NULL THEN 'known' ELSE 'unresolvable' END END AS aggregate_policy
+  FROM res r JOIN req q ON q.id = r.id LEFT JOIN spelled z ON z.concept_id = r.concept_id""", _match_sql(), _FUZZY, _BATCH, s.crosswalk("name_rows", "taxon", "lookup"), _ENTRIES, _SPELLED))
 def match_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Every request with its result, in the spelling of the name space."""
     rows = ix.verbatim(spark, sf)
-    return m.in_space(m.match(rows, ix.lookup(spark, sf)), rows, ix.space_entries(spark, sf), "floraveg")
+    out = m.in_space(m.match(rows, ix.lookup(spark, sf)), rows, ix.space_entries(spark, sf), "floraveg")
+    return out.withColumn("candidates", F.array_join("candidates", "|")).withColumn("confidence", F.round("confidence", 9))
+
+
+@query(s.with_("verbatim lookup concept", """SELECT r.id, d.match_type, d.concept_id FROM req r JOIN decided d ON d.id = r.id WHERE d.concept_id IS NOT NULL""", _match_sql().replace("JOIN lookup l ON l.canonical_fold = p.key", "JOIN (SELECT * FROM lookup WHERE backbone_id = 'cdm' AND sec_reference = (SELECT min(sec_reference) FROM lookup)) l ON l.canonical_fold = p.key")))
+def match_in_reference(spark: SparkSession, sf: str) -> DataFrame:
+    """The requests that names of one backbone and one reference decide for sure."""
+    sec = ix.secs(spark, sf).agg(F.min("id")).first()[0]
+    res = m.match(ix.verbatim(spark, sf), m.narrowed(ix.lookup(spark, sf), "cdm", sec))
+    return res.where("concept_id is not null and match_type <> 'fuzzy'").select("id", "match_type", "concept_id")
