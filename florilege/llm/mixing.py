@@ -128,3 +128,25 @@ def report(sizes: DataFrame, mixed: DataFrame, targets: DataFrame) -> DataFrame:
     share = F.coalesce(F.col("used_tokens") / total.scalar(), F.lit(0.0))
     times = F.when(F.col("n_tokens") > 0, F.col("used_tokens") / F.col("n_tokens"))
     return rows.select("source", "target_share", "max_repeats", "n_tokens", "used_tokens", share.alias("actual_share"), times.alias("times_used"), "most_copies")
+
+
+def verify(sizes: DataFrame, mixed: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, in_target, n_documents, over_repeats, uneven, off_target): what is wrong with each source's part, 0 each.
+
+    over_repeats: documents used more often than they may be; uneven: 1 if some document is used two times more than another
+    (or at all, of a source without target); off_target: 1 if its tokens are off its share of all by more than its largest
+    document, beside what the largest documents of the others may add.
+    """
+    have = sizes.where("source is not null").groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), F.max("n_tokens").alias("largest"))
+    used = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("used"), F.count(F.lit(1)).alias("n_used"), F.min("copies").alias("low"), F.max("copies").alias("high"))
+    wanted = targets.where("source is not null and target_share > 0").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("repeats"))
+    most = mixed.join(F.broadcast(wanted.limit(MOST_SOURCES)), "source", "left").groupBy("source").agg(F.count_if(F.col("copies") > F.coalesce("repeats", F.lit(0))).alias("over_repeats"))
+    rows = have.join(used, "source", "left").join(wanted, "source", "left").join(most, "source", "left")
+    able = F.col("share").isNotNull() & (F.col("repeats") > 0)
+    sums = rows.where(able).agg(F.sum("used").alias("total"), F.sum("share").alias("shares"), F.sum("largest").alias("slack"))
+    j = rows.join(sums, F.lit(True))
+    low = F.when(F.coalesce("n_used", F.lit(0)) < F.col("n_documents"), 0).otherwise(F.col("low"))
+    uneven = F.coalesce("high", F.lit(0)) - F.coalesce(low, F.lit(0)) > F.when(able, 1).otherwise(0)
+    off = able & (F.abs(F.coalesce("used", F.lit(0)) - F.col("share") / F.col("shares") * F.col("total")) > F.col("largest") + F.col("share") * F.col("slack"))
+    flag = lambda c, name: F.when(c, 1).otherwise(0).alias(name)
+    return j.select("source", F.col("share").isNotNull().alias("in_target"), "n_documents", F.coalesce("over_repeats", F.lit(0)).cast("int").alias("over_repeats"), flag(uneven, "uneven"), flag(off, "off_target"))

@@ -122,3 +122,25 @@ def report(packed: DataFrame, runs: DataFrame) -> DataFrame:
     named = runs.select("run_name", F.col("capacity_tokens").alias("capacity")).distinct()
     least = F.ceil(F.col("n_tokens") / F.col("capacity"))
     return total.join(named, "run_name").select("run_name", "capacity", "n_containers", "n_tokens", "fullest", least.alias("least"), (F.col("n_tokens") / (F.col("n_containers") * F.col("capacity"))).alias("fill"))
+
+
+def verify(packed: DataFrame, sizes: DataFrame, runs: DataFrame) -> DataFrame:
+    """(run_name, capacity, over_full, cut_without_need, pieces_out_of_place, texts_lost): what is wrong with a packing, 0 each.
+
+    over_full: containers beyond their capacity; cut_without_need: documents in several pieces that would fit into one;
+    pieces_out_of_place: pieces that do not begin where the one before ends; texts_lost: documents of which tokens are missing
+    or too many. Documents with one id are taken together.
+    """
+    named = runs.where("run_name is not null and capacity_tokens > 0").select("run_name", F.col("capacity_tokens").alias("capacity")).distinct()
+    full = packed.where("container is not null").groupBy("run_name", "container").agg(F.sum("length").alias("used")).join(named, "run_name")
+    over = full.groupBy("run_name").agg(F.count_if(F.col("used") > F.col("capacity")).alias("over_full"))
+    whole = sizes.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("copies"))
+    placed = packed.join(named, "run_name")
+    each = placed.groupBy("run_name", "doc_id").agg(F.sum("length").alias("have"), F.count(F.lit(1)).alias("pieces"), F.count_if(F.col("start") != F.col("piece") * F.col("capacity")).alias("misplaced"))
+    every = whole.join(named, F.lit(True)).join(each, ["run_name", "doc_id"], "left")
+    lost = F.coalesce(F.col("have"), F.lit(-1)) != F.col("n_tokens")
+    judged = every.groupBy("run_name", "capacity").agg(
+        F.count_if((F.col("copies") == 1) & (F.col("pieces") > 1) & (F.col("n_tokens") <= F.col("capacity"))).alias("cut_without_need"), F.coalesce(F.sum("misplaced"), F.lit(0)).alias("pieces_out_of_place"), F.count_if(lost).alias("texts_lost"),
+    )
+    ints = [F.col(c).cast("int").alias(c) for c in ("over_full", "cut_without_need", "pieces_out_of_place", "texts_lost")]
+    return judged.join(over, "run_name", "left").na.fill(0, ["over_full"]).select("run_name", "capacity", *ints)

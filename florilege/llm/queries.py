@@ -103,6 +103,13 @@ def p7_report(spark: SparkSession, sf: str) -> DataFrame:
     return packing.report(p7_pack(spark, sf), _table(spark, sf, "pack_capacities"))
 
 
+def p7_check(spark: SparkSession, sf: str) -> DataFrame:
+    """(run_name, capacity, over_full, cut_without_need, pieces_out_of_place, texts_lost): one row a run, counts of what must not
+    be, all 0: documents come back from their pieces."""
+    sizes, runs = _sizes(spark, sf), _table(spark, sf, "pack_capacities")
+    return packing.verify(packing.pack(sizes, runs), sizes, runs)
+
+
 # --- 8: mixing ------------------------------------------------------------------------------------------------------------
 
 
@@ -116,6 +123,13 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.report(sizes, mixing.mix(sizes, mixing.plan(sizes, targets)), targets)
 
 
+def p8_check(spark: SparkSession, sf: str) -> DataFrame:
+    """(source, in_target, n_documents, over_repeats, uneven, off_target): one row a source, in SQL's terms where SQL can say
+    them: how many documents it has, and whether anything about its part is not as it must be."""
+    sizes, targets = _sizes(spark, sf), _table(spark, sf, "mix_targets")
+    return mixing.verify(sizes, mixing.mix(sizes, mixing.plan(sizes, targets)), targets)
+
+
 # --- 9: reading level -----------------------------------------------------------------------------------------------------
 
 
@@ -143,7 +157,7 @@ def p9_cross_validation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_unmatched, p3_found, p3_groups, p5_found, p5_classes, p7_pack, p7_report, p8_mix, p8_report, p9_found, p9_levels, p9_profile, p9_cross_validation,
+    p1_found, p1_unmatched, p3_found, p3_groups, p5_found, p5_classes, p7_pack, p7_report, p7_check, p8_mix, p8_report, p8_check, p9_found, p9_levels, p9_profile, p9_cross_validation,
 )}
 
 _CONGRUENT = """
@@ -160,4 +174,9 @@ ORACLE = {
 found AS (SELECT v, min(w) AS g FROM reach GROUP BY v),
 every AS (SELECT lower(trim(concept_uuid)) AS u FROM cdm_concepts_fixture UNION SELECT lower(trim(from_uuid)) FROM cdm_relations_fixture UNION SELECT lower(trim(to_uuid)) FROM cdm_relations_fixture)
 SELECT u AS concept_uuid, coalesce(g, u) AS group_uuid FROM every LEFT JOIN found ON v = u WHERE u <> ''""",
+    # What holds of any right packing or mix: no container over its capacity, no document lost or cut without need, no source
+    # used more often than it may be, none off its share by more than its largest document.
+    "p7_check": "SELECT DISTINCT run_name, capacity_tokens AS capacity, 0 AS over_full, 0 AS cut_without_need, 0 AS pieces_out_of_place, 0 AS texts_lost FROM pack_capacities WHERE run_name IS NOT NULL AND capacity_tokens > 0",
+    "p8_check": """SELECT d.source, t.source IS NOT NULL AS in_target, d.n AS n_documents, 0 AS over_repeats, 0 AS uneven, 0 AS off_target FROM (SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1) d
+LEFT JOIN (SELECT DISTINCT source FROM mix_targets WHERE target_share > 0) t ON t.source = d.source""",
 }

@@ -50,3 +50,13 @@ def test_one_source_of_everything_and_nothing(spark):
         mixed = m.mix(s, m.plan(s, t))
         assert mixed.collect() == []
         assert all(r["used_tokens"] == 0 for r in m.report(s, mixed, t).collect())
+
+
+def test_verify_finds_what_is_wrong(spark):
+    docs = [(i, "a" if i % 2 else "b", 10, "") for i in range(100)] + [(200, "c", 10, "")]
+    sizes, targets = tables(spark, docs, [("a", 0.5, 1), ("b", 0.5, 2)])
+    mixed = m.mix(sizes, m.plan(sizes, targets))
+    assert all((r["over_repeats"], r["uneven"], r["off_target"]) == (0, 0, 0) for r in m.verify(sizes, mixed, targets).collect())
+    half = mixed.where("source = 'a' and doc_id < 50").unionByName(mixed.where("source = 'b'").selectExpr("doc_id", "source", "n_tokens", "3 AS copies")).unionByName(sizes.where("source = 'c'").selectExpr("doc_id", "source", "n_tokens", "1 AS copies"))
+    got = {r["source"]: (r["over_repeats"], r["uneven"], r["off_target"]) for r in m.verify(sizes, half, targets).collect()}
+    assert got["a"] == (0, 0, 1) and got["b"] == (50, 0, 1) and got["c"] == (1, 1, 0)

@@ -74,3 +74,15 @@ def test_pack(spark):
     rep = {r["run_name"]: r for r in p.report(spark.createDataFrame(rows), runs).collect()}
     assert rep["b"]["n_tokens"] == sum(n for _, n, _ in sizes) and rep["b"]["fill"] > 0.9
     assert p.pack(df.where("false"), runs).collect() == [] and p.pack(df, runs.where("false")).collect() == []
+
+
+def test_verify_finds_what_is_wrong(spark):
+    sizes = spark.createDataFrame([(1, 5), (2, 9), (3, 0), (4, 4)], "doc_id long, n_tokens long")
+    runs = spark.createDataFrame([("r", 6)], "run_name string, capacity_tokens int")
+    good = p.pack(sizes, runs)
+    right = {r["run_name"]: r.asDict() for r in p.verify(good, sizes, runs).collect()}["r"]
+    assert right == {"run_name": "r", "capacity": 6, "over_full": 0, "cut_without_need": 0, "pieces_out_of_place": 0, "texts_lost": 0}
+    schema = good.schema
+    bad = spark.createDataFrame([("r", 0, 1, 0, 0, 5), ("r", 0, 4, 0, 0, 2), ("r", 1, 4, 1, 3, 2), ("r", 2, 2, 0, 0, 6)], schema)
+    wrong = p.verify(bad, sizes, runs).collect()[0]
+    assert (wrong["over_full"], wrong["cut_without_need"], wrong["pieces_out_of_place"], wrong["texts_lost"]) == (1, 1, 1, 2)
