@@ -142,11 +142,12 @@ def verify(sizes: DataFrame, mixed: DataFrame, targets: DataFrame) -> DataFrame:
     wanted = targets.where("source is not null and target_share > 0").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("repeats"))
     most = mixed.join(F.broadcast(wanted.limit(MOST_SOURCES)), "source", "left").groupBy("source").agg(F.count_if(F.col("copies") > F.coalesce("repeats", F.lit(0))).alias("over_repeats"))
     rows = have.join(used, "source", "left").join(wanted, "source", "left").join(most, "source", "left")
-    able = F.col("share").isNotNull() & (F.col("repeats") > 0)
+    able = F.coalesce(F.col("repeats") > 0, F.lit(False))
     sums = rows.where(able).agg(F.sum("used").alias("total"), F.sum("share").alias("shares"), F.sum("largest").alias("slack"))
     j = rows.join(sums, F.lit(True))
     low = F.when(F.coalesce("n_used", F.lit(0)) < F.col("n_documents"), 0).otherwise(F.col("low"))
-    uneven = F.coalesce("high", F.lit(0)) - F.coalesce(low, F.lit(0)) > F.when(able, 1).otherwise(0)
+    high = F.coalesce("high", F.lit(0))
+    uneven = F.when(able, high - F.coalesce(low, F.lit(0)) > 1).otherwise(high > 0)
     off = able & (F.abs(F.coalesce("used", F.lit(0)) - F.col("share") / F.col("shares") * F.col("total")) > F.col("largest") + F.col("share") * F.col("slack"))
     flag = lambda c, name: F.when(c, 1).otherwise(0).alias(name)
     return j.select("source", F.col("share").isNotNull().alias("in_target"), "n_documents", F.coalesce("over_repeats", F.lit(0)).cast("int").alias("over_repeats"), flag(uneven, "uneven"), flag(off, "off_target"))
