@@ -32,8 +32,8 @@ def statistics(index: Index, traits: DataFrame, search_rows: DataFrame) -> DataF
     return reduce(DataFrame.unionByName, [*parts, split(sets, "trait", "vocabularies")])
 
 
-def positions(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """df with position (from 0) of each row in its group's order and n, the size of the group; nulls are a group of their own.
+def positions(df: DataFrame, group: list[str], order: list[str], size: str = "n") -> DataFrame:
+    """df with position (from 0) of each row in its group's order and the size of the group; nulls are a group of their own.
 
     Rows are sorted in ranges, whatever the sizes of the groups; only the counts of each range and group are summed up.
     """
@@ -42,11 +42,11 @@ def positions(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     counts = ranged.groupBy(*group, part).agg(F.min("_m").alias("_start"), F.count(F.lit(1)).alias("_size"))
     together = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     before = F.coalesce(F.sum("_size").over(together.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    spans = counts.withColumn("_before", before).withColumn("n", F.sum("_size").over(together)).drop("_size")
+    spans = counts.withColumn("_before", before).withColumn("_all", F.sum("_size").over(together)).drop("_size")
     keyed = ranged.withColumn("_p", part)
     same = [keyed[g].eqNullSafe(spans[g]) for g in group]
     j = keyed.join(spans, [F.col("_p") == F.col("_part"), *same])
-    return j.select(*[keyed[c] for c in df.columns], (F.col("_m") - F.col("_start") + F.col("_before")).alias("position"), "n")
+    return j.select(*[keyed[c] for c in df.columns], (F.col("_m") - F.col("_start") + F.col("_before")).alias("position"), F.col("_all").alias(size))
 
 
 def key_values(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:

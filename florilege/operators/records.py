@@ -49,7 +49,7 @@ def _blank(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
 
-def _quoted_fields(line: Column) -> tuple[Column, Column]:
+def quoted_fields(line: Column) -> tuple[Column, Column]:
     """(whether the quoting is right, the fields as text) of lines whose fields may be enclosed in quotes."""
     # Lambdas below use nothing but their arguments: what they name from outside would be computed anew for every piece.
     pieces = F.split(line, '"', -1)
@@ -72,7 +72,7 @@ def _quoted_fields(line: Column) -> tuple[Column, Column]:
     return right, F.split(joined, SEP, -1)
 
 
-def _unquote(field: Column) -> Column:
+def unquote(field: Column) -> Column:
     f = _blank(field)
     enclosed = (F.length(f) >= 2) & f.startswith('"') & f.endswith('"')
     return F.when(enclosed, F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f)
@@ -85,8 +85,8 @@ def fields(raw: DataFrame, feed: Feed) -> DataFrame:
     """
     line = F.replace(F.regexp_replace(F.coalesce(F.col("line"), F.lit("")), r"\r\z", ""), F.lit(SEP), F.lit("�"))
     if feed.quoted:
-        right, parts = _quoted_fields(line)
-        clean = _unquote
+        right, parts = quoted_fields(line)
+        clean = unquote
     else:
         right, parts, clean = F.lit(True), F.split(line, r"\|", -1), _blank
     kept = [c for c in ("record_id", "feed", "line_no") if c in raw.columns]

@@ -17,7 +17,7 @@ def write(tmp_path, text):
 def test_traits(spark, tmp_path):
     path = write(tmp_path, "vocab|taxon|vocab_version|dim|value|niche_width|n_systems\neive|A b|1.0|M|3.5||2\neive|A b|1.0|N|x||\neive|A b|1.0|N|||\neive|short\n")
     s = d.read(spark, path, d.TRAITS)
-    assert [r.asDict() for r in s.rows.collect()] == [{"taxon": "A b", "vocab": "eive", "vocab_version": "1.0", "dim": "M", "value": 3.5, "niche_width": None, "n_systems": 2}]
+    assert [r.asDict() for r in s.rows.drop("seq").collect()] == [{"taxon": "A b", "vocab": "eive", "vocab_version": "1.0", "dim": "M", "value": 3.5, "niche_width": None, "n_systems": 2}]
     assert sorted(r["reason"] for r in s.errors.collect()) == ["columns", "value is empty", "value is no double"]
 
 
@@ -28,6 +28,38 @@ def test_names_and_flags(spark, tmp_path):
     assert sorted((r["relationship_uuid"], r["is_concept_relation"]) for r in s.rows.collect()) == [("r", True), ("t", None)] and s.errors.collect()[0]["reason"] == "is_concept_relation is no boolean"
 
 
+def test_quotes_and_lines(spark, tmp_path):
+    """Fields over several lines, a stray quote that costs only its own line, bare quotes, extra fields, CRLF, a BOM."""
+    head = "\ufefftaxon|vocab|vocab_version|dim|value|niche_width|n_systems\r\n"
+    body = '"A\nb"|eive|1|M|1||\r\nC d|eive|1|M|2|||extra\r\n"stray|eive|1|M|3||\r\nE "f" g|eive|1|M|4||\r\n\r\nH|eive|1|M|5||\r\n"x\n\n""y"" z"|eive|1|M|6||\r\n'
+    s = d.read(spark, write(tmp_path, head + body), d.TRAITS)
+    got = {r["value"]: r["taxon"] for r in s.rows.collect()}
+    assert got == {1.0: "A\nb", 2.0: "C d", 4.0: 'E "f" g', 5.0: "H", 6.0: 'x\n"y" z'}
+    assert [(r["reason"], r["line"][:6]) for r in s.errors.collect()] == [("quoting", '"stray')]
+    order = [r["value"] for r in s.rows.orderBy("seq").collect()]
+    assert order == sorted(order)
+
+
+def test_strict_and_fatal(spark, tmp_path):
+    columns = "|".join(d.CONCEPTS.columns)
+    s = d.read(spark, write(tmp_path, f'{columns}\nu|A "b"|x|s|a|||k|\nv|A b|x|s|a|||k|\nw|short\n'), d.CONCEPTS)
+    assert [r["concept_uuid"] for r in s.rows.collect()] == ["v"] and sorted(r["reason"] for r in s.errors.collect()) == ["columns", "quoting"]
+    with pytest.raises(ValueError, match="wrongly quoted"):
+        d.read(spark, write(tmp_path, 'taxon|rank|status|accepted_taxon|source_id\n"A|b|c|d|1\n'), d.NAMES)
+
+
+def test_taxa_and_folders(spark, tmp_path):
+    columns = "|".join(d.TAXA.columns)
+    row = lambda i, p: "|".join([str(i), *["x"] * 15, p, "r"])
+    for k in range(2):
+        (tmp_path / f"t{k}.csv").write_text(f"{columns}\n{row(2 * k, '')}\n{row(2 * k + 1, chr(123) + chr(125))}\n{row(9, 'no json')}\n")
+    s = d.read(spark, str(tmp_path), d.TAXA)
+    assert sorted(r["taxonid"] for r in s.rows.collect()) == ["0", "1", "2", "3"] and {r["reason"] for r in s.errors.collect()} == {"dynamicproperties is no JSON object"}
+    (tmp_path / "t2.csv").write_text("taxonid|x\n")
+    with pytest.raises(ValueError, match="missing"):
+        d.read(spark, str(tmp_path), d.TAXA)
+
+
 def test_missing_column(spark, tmp_path):
     with pytest.raises(ValueError, match="accepted_taxon"):
         d.read(spark, write(tmp_path, "taxon|rank|status|source_id\nA|b|c|d\n"), d.NAMES)
