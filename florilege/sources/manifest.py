@@ -28,11 +28,19 @@ def parse(path: str) -> Manifest:
         import yaml
 
         data = yaml.safe_load(raw)
+    return _checked(data, Path(path).resolve().parent, raw)
+
+
+def parse_text(text: str, base: Path) -> Manifest:
+    """A manifest as JSON text; relative paths are taken from base."""
+    return _checked(json.loads(text), base, text.encode())
+
+
+def _checked(data: object, base: Path, raw: bytes) -> Manifest:
     if not isinstance(data, dict) or not data.get("backbones"):
         raise ValueError("a manifest needs at least one backbone")
     if unknown := set(data) - set(LISTS):
         raise ValueError(f"unknown key: {sorted(unknown)[0]}")
-    base = Path(path).resolve().parent
     out: dict[str, list[dict]] = {}
     for name in LISTS:
         out[name] = []
