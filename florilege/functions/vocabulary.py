@@ -21,6 +21,7 @@ SCALES = {
     ("tichy2023", "L"): (1.0, 9.0, False), ("tichy2023", "T"): (1.0, 12.0, False), ("tichy2023", "M"): (1.0, 12.0, False), ("tichy2023", "R"): (1.0, 9.0, False),
     ("tichy2023", "N"): (1.0, 9.0, False), ("tichy2023", "S"): (0.0, 9.0, False),
 }
+VOCABULARIES = ("eive", "tichy2023", "midolo2023")
 DIMENSIONS = ("M", "N", "R", "L", "T", "S", "disturbance_severity", "disturbance_frequency", "mowing_frequency", "grazing_pressure", "soil_disturbance")
 AREA_ALIASES = {"DE": "GER", "AT": "AUT", "CH": "SWI"}
 #: Ranks that are left out of a list of names to publish.
@@ -104,6 +105,12 @@ def parse_dimension(c: Column | str) -> Column:
     return mapped(low, {d.lower(): d for d in DIMENSIONS})
 
 
+def parse_vocabulary(c: Column | str) -> Column:
+    """A trait vocabulary whatever its case, null for anything else."""
+    low = F.lower(F.trim(_col(c)))
+    return F.when(low.isin(*VOCABULARIES), low)
+
+
 def scale(vocab: Column, dim: Column) -> Column:
     """struct(least, greatest, normalized) of a dimension; 0, 0, false where none is defined."""
     chain = None

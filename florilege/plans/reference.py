@@ -84,11 +84,17 @@ def nom_status_judged(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("x", v.normalize_nom_status("x").alias("text"), v.nom_status("x")["judgement"].alias("judgement"))
 
 
-@query(f"""WITH d AS (SELECT DISTINCT lower(trim(vocab)) AS vocab, upper(trim(dim)) AS dim FROM eive_sample)
-SELECT vocab, dim, CASE WHEN vocab = 'eive' AND dim IN ('M', 'N', 'R', 'L', 'T') THEN 0.0 ELSE 0.0 END::DOUBLE AS least, CASE WHEN vocab = 'eive' AND dim IN ('M', 'N', 'R', 'L', 'T') THEN 10.0 ELSE 0.0 END::DOUBLE AS greatest,
-  vocab = 'eive' AND dim IN ('M', 'N', 'R', 'L', 'T') AS normalized FROM d""")
+_SCALES = """SELECT v.vocab, d.dim, coalesce(s.least, 0)::DOUBLE AS least, coalesce(s.greatest, 0)::DOUBLE AS greatest, coalesce(s.normalized, FALSE) AS normalized
+FROM (VALUES ('eive'), ('tichy2023'), ('midolo2023')) v(vocab) CROSS JOIN (VALUES ('M'), ('N'), ('R'), ('L'), ('T'), ('S'), ('disturbance_severity'), ('disturbance_frequency'), ('mowing_frequency'), ('grazing_pressure'), ('soil_disturbance')) d(dim)
+LEFT JOIN (VALUES ('eive', 'M', 0, 10, TRUE), ('eive', 'N', 0, 10, TRUE), ('eive', 'R', 0, 10, TRUE), ('eive', 'L', 0, 10, TRUE), ('eive', 'T', 0, 10, TRUE), ('tichy2023', 'L', 1, 9, FALSE), ('tichy2023', 'T', 1, 12, FALSE),
+  ('tichy2023', 'M', 1, 12, FALSE), ('tichy2023', 'R', 1, 9, FALSE), ('tichy2023', 'N', 1, 9, FALSE), ('tichy2023', 'S', 0, 9, FALSE)) s(vocab, dim, least, greatest, normalized) ON s.vocab = v.vocab AND s.dim = d.dim"""
+
+
+@query(_SCALES)
 def trait_scales(spark: SparkSession, sf: str) -> DataFrame:
-    d = ix.table(spark, sf, "eive_sample").select(F.lower(F.trim("vocab")).alias("vocab"), v.parse_dimension("dim").alias("dim")).distinct()
+    """The scale of every dimension in every vocabulary, asked for in capitals."""
+    every = spark.range(1).select(F.explode(F.array(*[F.lit(x.upper()) for x in v.VOCABULARIES])).alias("v")).select("v", F.explode(F.array(*[F.lit(x.upper()) for x in v.DIMENSIONS])).alias("d"))
+    d = every.select(v.parse_vocabulary("v").alias("vocab"), v.parse_dimension("d").alias("dim"))
     return d.withColumn("s", v.scale(F.col("vocab"), F.col("dim"))).select("vocab", "dim", "s.*")
 
 

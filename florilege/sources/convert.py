@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from florilege.functions import names as n
+from florilege.operators.analysis import seed_union
+
+#: The properties of harvested items and the authorities they stand for; of the two of gbif the first goes first.
+GBIF = ("P14607", "P846")
+PROPERTIES = {"P10585": "colxr", "P12380": "euromed", "P12100": "floraveg", "P7715": "wfo", "P3151": "inat"}
 
 
 def wide_traits(wide: DataFrame, taxon: str, dims: dict[str, str], vocab: str, version: str, widths: dict[str, str] | None = None, systems: dict[str, str] | None = None) -> DataFrame:
@@ -17,6 +22,49 @@ def wide_traits(wide: DataFrame, taxon: str, dims: dict[str, str], vocab: str, v
     return long.where("value is not null and taxon <> ''")
 
 
+def name_list(rows: DataFrame, taxon: str, source_id: str, rank: str | None = None, status: str | None = None, synonym: str | None = None, accepted: str | None = None) -> DataFrame:
+    """A published name list to (taxon, rank, status, accepted_taxon, source_id), rows without a taxon left out.
+
+    status: a column of words, taken in lower case; synonym: a column that is true for synonyms instead; with neither every
+    name is accepted. Only names that are not accepted have an accepted taxon.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c else F.lit("")
+    word = F.lower(F.trim(text(status))) if status else F.when(F.coalesce(F.col(synonym).cast("boolean"), F.lit(False)), "synonym").otherwise("accepted") if synonym else F.lit("accepted")
+    return rows.where(text(taxon) != "").select(
+        text(taxon).alias("taxon"), text(rank).alias("rank"), word.alias("status"), F.when(word == "accepted", F.lit("")).otherwise(text(accepted)).alias("accepted_taxon"), text(source_id).alias("source_id"),
+    )
+
+
+def harvest(spark: SparkSession, first: str, second: str, enriched: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three files of a harvest, an object a line: two seeds (item, v) and the enriched items (item, a column a property)."""
+    seed = "item string, v string"
+    wide = "item string, " + ", ".join(f"{p} string" for p in (*GBIF, *PROPERTIES))
+    return spark.read.schema(seed).json(first), spark.read.schema(seed).json(second), spark.read.schema(wide).json(enriched)
+
+
+def identifier_rows(first: DataFrame, second: DataFrame, enriched: DataFrame, joinable: DataFrame | None = None) -> DataFrame:
+    """A harvest to cross-reference rows (join_authority, join_id, authority, ext_id, wikidata_qid).
+
+    Items that neither id makes joinable are left out. Of two differing ids the first is the join id, unless only the second
+    one joins. Every item gives itself, its gbif id from the first property that has one, and the simple authorities.
+    """
+    seeds = seed_union(first, second, joinable)
+    b = n.lsid_id("second_id")
+    if joinable is None:
+        keyed = seeds.select("item", F.coalesce(F.nullif("first_id", F.lit("")), b).alias("join_id"))
+    else:
+        known = joinable.select("id").distinct()
+        flag = lambda c: known.select(F.col("id").alias(c), F.lit(True).alias(f"{c}_ok"))
+        s = seeds.withColumn("bare", b).join(flag("first_id"), "first_id", "left").join(flag("bare"), "bare", "left")
+        no = F.lit(False)
+        keyed = s.select("item", n.pick_join_id(F.col("first_id"), F.col("bare"), F.coalesce("first_id_ok", no), F.coalesce("bare_ok", no)).alias("join_id"))
+    filled = lambda c: F.nullif(F.col(c), F.lit(""))
+    cells = [(F.col("item"), "wikidata"), (F.coalesce(*[filled(p) for p in GBIF]), "gbif"), *[(filled(p), a) for p, a in PROPERTIES.items()]]
+    last = enriched.groupBy("item").agg(*[F.max(p).alias(p) for p in (*GBIF, *PROPERTIES)])
+    long = keyed.join(last, "item", "left").select("item", "join_id", F.explode(F.array(*[F.struct(F.lit(a).alias("authority"), c.alias("ext_id")) for c, a in cells])).alias("x"))
+    return long.where("x.ext_id is not null").select(F.lit("powo").alias("join_authority"), "join_id", "x.authority", "x.ext_id", F.col("item").alias("wikidata_qid"))
+
+
 def merge_identifiers(seed: DataFrame, enriched: DataFrame, joinable: DataFrame) -> DataFrame:
     """seed (item, first_id, second_id) and enriched (item, authority, ext_id) to cross-reference rows on the POWO id.
 

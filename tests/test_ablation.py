@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from florilege.functions import names as n
 from florilege.operators import ingest as g
 from florilege.plans import index as ix
-from florilege.plans.reads import _TEN
+from florilege.plans.analyses import _TEN
 
 
 def ladders(df):
@@ -19,7 +19,7 @@ def test_ten_sets(spark, small):
     targets = {r["canonical_fold"]: r["n"] for r in g.lookup(ix.index(spark, small)).groupBy("canonical_fold").agg(F.count_distinct("concept_id").alias("n")).collect()}
     rows = [r["f"] for r in ix.name_rows(spark, small).select(n.canonicalize("taxon").alias("f")).collect()]
     ladder = ladders(spark.createDataFrame([(f,) for f in set(rows)], "f string"))
-    got = {r["rules"]: r for r in entry.queries()["rule_ablation_deltas"](spark, small).collect()}
+    got = {r["rules"]: r for r in entry.queries()["rule_ablation"](spark, small).collect()}
     assert list(_TEN)[0] == "exact" and len(got) == 10
     for rules, more in _TEN.items():
         count = lambda k: "unmatched" if k is None else "matched" if k == 1 else "ambiguous"

@@ -102,3 +102,23 @@ def test_stream_equals_batch(spark, small, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.sql("select window_start, event_type, n from windowed_events").collect()} == batch
+
+
+def test_name_lists(spark):
+    rows = spark.createDataFrame([(1, "A b", "Species", " Accepted ", "x", False), (2, "C d", None, "Synonym", "A b", True), (3, "", None, None, None, None)], "id int, t string, r string, s string, a string, syn boolean")
+    tuples = lambda df: [tuple(r) for r in df.collect()]
+    assert tuples(c.name_list(rows, "t", "id", "r", status="s", accepted="a")) == [("A b", "Species", "accepted", "", "1"), ("C d", "", "synonym", "A b", "2")]
+    assert tuples(c.name_list(rows, "t", "id", synonym="syn", accepted="a")) == [("A b", "", "accepted", "", "1"), ("C d", "", "synonym", "A b", "2")]
+    assert tuples(c.name_list(rows, "t", "id")) == [("A b", "", "accepted", "", "1"), ("C d", "", "accepted", "", "2")]
+
+
+def test_harvest(spark, tmp_path):
+    lines = {"a": [{"item": "Q2", "v": "1-1"}, {"item": "Q10", "v": "5-5"}], "b": [{"item": "Q2", "v": "urn:lsid:ipni.org:names:2-2"}, {"item": "Q3", "v": "9-9"}], "e": [{"item": "Q2", "P14607": "g1", "P846": "g2", "P7715": "w"}, {"item": "Q10", "P846": "g3"}]}
+    for name, rows in lines.items():
+        (tmp_path / name).write_text("\n".join(map(json.dumps, rows)))
+    first, second, enriched = c.harvest(spark, *[str(tmp_path / x) for x in "abe"])
+    ids = spark.createDataFrame([("2-2",), ("5-5",)], "id string")
+    got = {tuple(r) for r in c.identifier_rows(first, second, enriched, ids).collect()}
+    assert got == {("powo", "2-2", "wikidata", "Q2", "Q2"), ("powo", "2-2", "gbif", "g1", "Q2"), ("powo", "2-2", "wfo", "w", "Q2"), ("powo", "5-5", "wikidata", "Q10", "Q10"), ("powo", "5-5", "gbif", "g3", "Q10")}
+    every = c.identifier_rows(first, second, enriched).where("authority = 'wikidata'").collect()
+    assert {(r["join_id"], r["ext_id"]) for r in every} == {("1-1", "Q2"), ("9-9", "Q3"), ("5-5", "Q10")}
