@@ -100,11 +100,11 @@ def _stars(links: DataFrame, hot: list[int]) -> tuple[DataFrame, list[int]]:
         # Large star: each vertex sends its greater neighbours to the smallest of its neighbourhood.
         turned = _both(pairs, "v", "low")
         near = turned.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = cut(_join(turned.where("y > x"), near, "x", "y", hot, "inner").select(F.col("y").alias("v"), F.col("m").alias("low")).distinct())
+        large = _join(turned.where("y > x"), near, "x", "y", hot, "inner").select(F.col("y").alias("v"), F.col("m").alias("low")).distinct()
         # Small star: each vertex sends its smaller neighbours, and itself, to the smallest of them.
         least = large.groupBy("v").agg(F.min("low").alias("m"))
         sent = _join(large, least, "v", "low", hot, "inner").select(F.explode(F.array(F.struct(F.col("low").alias("v"), F.col("m").alias("low")), F.struct(F.col("v"), F.col("m").alias("low")))).alias("e")).select("e.*")
-        pairs, before = cut(sent.where("v <> low").distinct(), large, *([pairs] if state else [])), state
+        pairs, before = cut(sent.where("v <> low").distinct(), *([pairs] if state else [])), state
         hot, state = _state(pairs, state[0] if state else 0)
     roots = pairs.select(F.col("low").alias("v")).distinct()
     return pairs.unionByName(roots.select("v", F.col("v").alias("low"))), hot
