@@ -126,12 +126,6 @@ def area_code(c: Column | str) -> Column:
     return F.coalesce(mapped(up, AREA_ALIASES), up)
 
 
-def area_list(c: Column | str) -> Column:
-    """A comma list of areas to its distinct codes in order."""
-    codes = F.transform(F.split(_col(c), ","), lambda x: area_code(x))
-    return F.array_sort(F.array_distinct(F.filter(codes, lambda x: x != "")))
-
-
 def normalize_nom_status(c: Column | str) -> Column:
     """Lower case, single blanks, without commas and blanks at the front."""
     s = F.lower(F.btrim(F.regexp_replace(_col(c), r"(?U)\s+", " "), F.lit(" ")))

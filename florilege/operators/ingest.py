@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from florilege.functions import names as n
 from florilege.functions import vocabulary as v
-from florilege.session import cut
 from florilege.skew import hot_values_of, salted_join
 
 #: The scheme of all area codes, and (in `Index`) the columns of the tables and the shapes of their ids.
@@ -76,14 +75,10 @@ def homotypic(taxon: Column, basionym: Column, target: Column, target_basionym:
     return F.when(F.coalesce(proven, F.lit(False)), F.lit(True))
 
 
-def backbone(taxa: DataFrame, distributions: DataFrame, bid: str) -> Index:
-    """taxa (taxonid, canonical, authorship, rank, status, nom_status, published_in, powo, accepted_id, parent_id, basionym_id; one row
-    a key) and distributions (coreid, locality, locationid, seq) to the index of one backbone."""
-    return from_linked(cut(link_taxa(taxa)), distributions, bid)  # five tables are made of it
-
-
 def from_linked(t: DataFrame, distributions: DataFrame, bid: str) -> Index:
-    """`backbone` over taxa that `link_taxa` has linked."""
+    """t: `link_taxa` of taxa (taxonid, canonical, authorship, rank, status, nom_status, published_in, powo, accepted_id, parent_id,
+    basionym_id; one row a key), written once as five tables are made of it; distributions (coreid, locality, locationid, seq).
+    The index of one backbone."""
     rank, verbatim = v.parse_rank_lenient("rank"), v.rank_verbatim("rank")
     name = t.select(
         name_id(bid, F.col("taxonid")).alias("id"), "canonical", n.canonicalize("canonical").alias("canonical_fold"), "authorship", rank.alias("rank"), verbatim.alias("rank_verbatim"),

@@ -65,22 +65,6 @@ def identifier_rows(first: DataFrame, second: DataFrame, enriched: DataFrame, jo
     return long.where("x.ext_id is not null").select(F.lit("powo").alias("join_authority"), "join_id", "x.authority", "x.ext_id", F.col("item").alias("wikidata_qid"))
 
 
-def merge_identifiers(seed: DataFrame, enriched: DataFrame, joinable: DataFrame) -> DataFrame:
-    """seed (item, first_id, second_id) and enriched (item, authority, ext_id) to cross-reference rows on the POWO id.
-
-    Of two differing ids the first is taken unless only the second one joins; items without a joinable id are left out.
-    """
-    known = joinable.select(F.col("id")).distinct()
-    flag = lambda c: known.select(F.col("id").alias(c), F.lit(True).alias(f"{c}_ok"))
-    one = seed.groupBy("item").agg(F.max(n.lsid_id("first_id")).alias("first_id"), F.max(n.lsid_id("second_id")).alias("second_id"))
-    s = one.join(flag("first_id"), "first_id", "left").join(flag("second_id"), "second_id", "left")
-    no = F.lit(False)
-    pick = n.pick_join_id(F.col("first_id"), F.col("second_id"), F.coalesce("first_id_ok", no), F.coalesce("second_id_ok", no))
-    keyed = s.select("item", pick.alias("join_id")).join(known.withColumnRenamed("id", "join_id"), "join_id", "left_semi")
-    rows = keyed.join(enriched.where("ext_id <> ''"), "item")
-    return rows.select(F.lit("powo").alias("join_authority"), "join_id", "authority", "ext_id", F.col("item").alias("wikidata_qid")).distinct()
-
-
 def assemble_relations(halves: DataFrame) -> DataFrame:
     """halves (relationship, holder, end: 'from' or 'to') to (relationship, from_uuid, to_uuid); a third holder is refused."""
     g = halves.groupBy("relationship").agg(

@@ -83,9 +83,6 @@ def test_manifest(tmp_path):
 def test_converters(spark):
     wide = spark.createDataFrame([("A b", "1.5", "x", "2"), ("C d", "NA", "", None)], "t string, m string, n string, w string")
     assert [tuple(r) for r in c.wide_traits(wide, "t", {"M": "m", "N": "n"}, "eive", "1.0", {"M": "w"}).collect()] == [("A b", "eive", "1.0", "M", 1.5, 2.0, None)]
-    seed = spark.createDataFrame([("Q1", "urn:lsid:ipni.org:names:1-1", "2-1"), ("Q2", "9-9", None)], "item string, first_id string, second_id string")
-    more = spark.createDataFrame([("Q1", "gbif", "5"), ("Q2", "gbif", "6")], "item string, authority string, ext_id string")
-    assert [tuple(r) for r in c.merge_identifiers(seed, more, spark.createDataFrame([("2-1",)], "id string")).collect()] == [("powo", "2-1", "gbif", "5", "Q1")]
     halves = [("r", "a", "from"), ("r", "b", "to"), ("s", "a", "to")]
     assert sorted(tuple(r) for r in c.assemble_relations(spark.createDataFrame(halves, "relationship string, holder string, end string")).collect()) == [("r", "a", "b"), ("s", None, "a")]
     with pytest.raises(ValueError):
