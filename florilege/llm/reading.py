@@ -34,8 +34,8 @@ from florilege.skew import hot_values, salted_join
 
 #: A paragraph that stands in this many messages is a notice.
 REPEATS = 10
-#: Up to this many notices (as 64-bit hashes, 16 MB) are broadcast; more are joined.
-MOST_NOTICES = 2_000_000
+#: Up to this many notices (as 64-bit hashes, 1.6 MB) are broadcast; more are joined.
+MOST_NOTICES = 200_000
 MOST_LABELS = 20_000
 FOLDS = 5
 
