@@ -5,7 +5,11 @@ import os
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from florilege.operators import hierarchy as h
+from florilege.plans import core_problems
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
@@ -23,8 +27,8 @@ def duck(small):
     return connected(small)
 
 
-#: Queries that are compared at the next scale too: contraction, all matching steps, cuts of pools and pages.
-AT_THE_NEXT_SCALE = ("p2_contracted", "p6_errors", "match_batch", "suggest_in_space", "synonyms_to_publish", "translate_hints", "value_quantiles")
+#: Queries that are compared at the next scale too: all matching steps, cuts of pools and pages.
+AT_THE_NEXT_SCALE = ("p6_errors", "match_batch", "suggest_in_space", "synonyms_to_publish", "translate_hints", "value_quantiles")
 
 
 def rows(df):
@@ -49,6 +53,12 @@ def test_oracle_at_the_next_scale(spark, middle, name):
     assert len(want) > 0 and rows(got) == rows(want)
 
 
+def test_contracted_lists_at_the_next_scale(spark, middle):
+    """Lists contracted down to 500 elements, so that most of the ranking is parallel, give the hierarchy of the oracle."""
+    tree = h.hierarchy(core_problems._peeled(spark, middle), residual=500).withColumn("path", F.array_join("path", ">"))
+    assert rows(tree.toPandas()) == rows(connected(middle).execute(ORACLES["p2_hierarchy"]).df())
+
+
 def test_core_queries_have_oracles():
     """Only queries of the training-data operators go without (their own tests say what must hold of them)."""
     assert all(name.startswith("p") and name[1].isdigit() for name in set(QUERIES) - set(ORACLES))
